@@ -21,12 +21,55 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_documents
+
+    return link_documents(table_of(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets
+
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return find_secrets(table_of(spark, sf_dir, "documents")).select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicate_groups
 
     return duplicate_groups(table_of(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+
+    return near_duplicates(table_of(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import surrogate_documents
+
+    return surrogate_documents(table_of(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_documents
+
+    found = identify_documents(table_of(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import digest_documents, round_trip
 
@@ -46,7 +89,17 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_exact_dedup, op10_token_store)}
+    every = (
+        op1_best_fit_packing,
+        op2_ngram_jaccard_join,
+        op3_secret_scan,
+        op6_exact_dedup,
+        op7_embedding_near_dedup,
+        op8_pii_surrogates,
+        op9_language_id,
+        op10_token_store,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
