@@ -228,6 +228,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, out)
 
 
+def accept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows of docs whose language is known with at least min_score; columns as they are. One pass, no shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value) if sent.value is not None else None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column(at).to_pylist()
+                found = scorer.mixtures(texts) if scorer else [None] * len(texts)
+                yield part.filter(pa.array([m is not None and float(m[0].max()) >= min_score for m in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

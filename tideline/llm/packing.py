@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch, ship
 from .tokens import encoder
@@ -189,7 +190,7 @@ def place_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs, _ = plan(total, capacity)
     table = spark.sparkContext.broadcast(_lookup(runs))
     ship(spark)
-    schema = items.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     width = len(items.columns)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +210,10 @@ def place_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return (
         ranked.join(starts, ["length", "_block"])
         .select(*items.columns, (F.col("_nth") + F.col("_before")).cast("long").alias("_rank"))
-        .mapInArrow(find, _ddl(schema))
+        .mapInArrow(find, schema)
     )
 
 
-def _ddl(simple: str) -> str:
-    return simple.replace(":", " ")
-
-
 def _lookup(runs: list[Run]) -> tuple[np.ndarray, ...]:
     """Sorted arrays. There are at most 2 * capacity groups of equal sequences with at most 63 lengths in each."""
     got = np.array(

@@ -45,6 +45,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table_of(spark, sf_dir, "documents"), table_of(spark, sf_dir, "labels"))
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text; the digests of both, and whether the text came back."""
+    from .piece_codec import decode_documents, encode_documents
+
+    docs = table_of(spark, sf_dir, "documents")
+    path = _vocabulary("piece_bpe_32k.model")
+    source = docs.select("doc_id", F.col("text"), F.col("text").alias("given"))
+    return decode_documents(encode_documents(source, path, keep="given"), path).select(
+        "doc_id",
+        "n_pieces",
+        F.crc32("ids").cast("long").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        (F.col("text") == F.translate(F.coalesce("given", F.lit("")), "\u2581", " ")).alias("round_trip"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicate_groups
 
@@ -93,6 +115,8 @@ def queries() -> dict:
         op1_best_fit_packing,
         op2_ngram_jaccard_join,
         op3_secret_scan,
+        op4_quality_classifier,
+        op5_piece_codec,
         op6_exact_dedup,
         op7_embedding_near_dedup,
         op8_pii_surrogates,
