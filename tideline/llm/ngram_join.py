@@ -3,10 +3,13 @@
 A document is its set of distinct shingles, each a 64-bit hash. Documents with equal sets form a class; only one of a class
 goes on. The join hashes shingles into groups in two ways:
 
-* Directory. With threshold t two sets that link differ in at most d = smaller * (1 - t) / t shingles. Hashed into more than d
-  groups, they agree in whole groups, so documents are looked up by the content of each group. A band of sizes fixes d and
-  the number of groups; a document is entered in the bands of all sizes it could link with. Empty groups are entered only for
-  the few documents whose filled groups do not outnumber d, which keeps the lookup complete and free of one hot entry.
+* Directory, for thresholds of 85 % and over. With threshold t two sets that link differ in at most d = smaller * (1 - t) / t
+  shingles. Hashed into more than d groups, they agree in whole groups, so documents are looked up by the content of each group. A
+  band of sizes fixes d and the number of groups; a document is entered in the bands of all sizes it could link with. Empty groups are
+  entered only for the few documents whose filled groups do not outnumber d, which keeps the lookup complete and free of one hot entry.
+  Below 85 % groups would hold two or three shingles only and there would be very many. There the entries are the first
+  n - ceil(t * n) + 1 shingles of a set in one order of all shingles; sets that link have one of these in common. The order puts
+  shingles that are frequent in a sample of at most about ORDER_DOCS documents last; any order gives the same links.
 * Count vectors. The numbers of shingles in DIMS groups make a point; the overlap of two sets is at most the sum of
   the smaller coordinates. Pages of the directory are joined by an R-tree over these points: node boxes carry the
   largest coordinates and the smallest size, node pairs whose bound is too low are pruned, and pairs that survive are verified on the sets.
@@ -33,11 +36,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch, ship
 
-DIMS = 32
+DIMS = 128
 PAGE = 1024
 NODE = 16
 BAND = 1.5
 MAX_WORDS = 500_000
+ORDER_DOCS = 20_000
+GROUPS_FROM = 85
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _KEY_BITS = np.uint64(14)  # entries keep 50 bits; a chance collision costs one comparison
 
@@ -114,12 +119,46 @@ def entries(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def first_entries(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """The directory keys of a set by the order of shingles: frequent ones last."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    length = n + (-n * percent) // 100 + 1
+    late = np.zeros(n, bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    return (s[np.lexsort((s, late))][:length] >> _KEY_BITS).astype(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, words: int, rows: int = ORDER_DOCS, most: int = 200_000) -> np.ndarray:
+    """Sorted shingles that at least three documents of a sample hold, the most frequent first if there are more than `most`."""
+    total = docs.count()
+    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if total > rows:
+        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / total * (1 << 32)))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        sets = [shingle(t) for batch in batches for t in batch.column(1).to_pylist()]
+        found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        more = n > 1  # what one part of the sample holds once is hardly frequent
+        yield pa.RecordBatch.from_arrays([pa.array(found[more].astype(np.int64)), pa.array(n[more])], names=["s", "n"])
+
+    counted = sample.repartition(4).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 3")
+    got = counted.orderBy(F.desc("n"), "s").limit(most).toPandas()
+    return np.sort(got["s"].to_numpy(np.int64).astype(np.uint64))
+
+
 def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, its directory keys and its count vector."""
+    frequent = None
+    if percent < GROUPS_FROM:
+        frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -127,7 +166,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 sets = [shingle(t) for t in part.column(1).to_pylist()]
-                keys = [entries(s, percent) for s in sets]
+                keys = [entries(s, percent) if frequent is None else first_entries(s, percent, frequent.value) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 sums = [[np.uint64(0), np.uint64(0)] if not len(s) else [_mix(s, _A).sum(), _mix(s, _B).sum()] for s in sets]
