@@ -129,7 +129,7 @@ def _splits(docs: DataFrame, shards: int) -> list[int]:
 
 
 def write_store(
-    docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_per_shard: int = 8192, width: int = WIDTH
+    docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_per_shard: int = 1024, width: int = WIDTH
 ) -> None:
     """Encode every text, add end_id, and write the shards in ascending doc_id order."""
     spark = docs.sparkSession
