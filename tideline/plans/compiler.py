@@ -165,6 +165,10 @@ class Compiler:
         """A range function with a scalar parameter, which may differ from step to step."""
         s = self.scalar(param)
         if s.frame is None:
+            if self.routes is not None and name == "predict_linear" and isinstance(matrix, Selector):
+                routed = self.routes.answer(self, name, matrix, s.number)
+                if routed is not None:
+                    return routed
             return self._range_call(name, matrix, make(F.lit(float(s.number))))
         samples, dim, grid, fixed = self._samples(matrix)
         fn = make(F.col("scalar"))
