@@ -23,7 +23,11 @@ from .selectors import with_previous
 
 BUCKETS_FROM = 6  # steps in a range from which buckets are cheaper
 
-V, TS, PV, PT = F.col("value"), F.col("ts"), F.col("pv"), F.col("pt")
+def _col(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name)
+
+
+V, TS, PV, PT = _col("value"), _col("ts"), _col("pv"), _col("pt")
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,11 @@ def _last(c: str) -> Column:
     return F.max_by(c, "t1")
 
 
-_EDGES = {"n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": F.min_by("value", "ts"), "v1": F.max_by("value", "ts")}
+def _edges(range_ms: int) -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "t0": F.min("ts"), "t1": F.max("ts"), "v0": F.min_by("value", "ts"), "v1": F.max_by("value", "ts")}
+
+
+
 _EDGE_MERGE = {"n": _sum, "t0": F.min, "t1": F.max, "v0": _first, "v1": _last}
 
 
@@ -74,9 +82,9 @@ def _extrapolated(range_ms: int, counter: bool, per_second: bool) -> Column:
 
 def _rate_like(counter: bool, per_second: bool) -> RangeFn:
     return RangeFn(
-        partial=lambda r: dict(_EDGES),
+        partial=_edges,
         merge=_EDGE_MERGE,
-        pairs={"corr": lambda: F.when(V < PV, PV)} if counter else {},
+        pairs={"corr": lambda: F.when(V() < PV(), PV())} if counter else {},
         previous=counter,
         final=lambda r: _extrapolated(r, counter, per_second),
     )
@@ -93,8 +101,8 @@ def _counted(change: Callable[[], Column]) -> RangeFn:
 
 
 def _differs() -> Column:
-    both_nan = F.isnan(V) | F.isnan(PV)
-    return both_nan | (V != PV)
+    both_nan = F.isnan(V()) | F.isnan(PV())
+    return both_nan | (V() != PV())
 
 
 def _simple(agg: Callable[[], Column], merge: Callable[[str], Column] | None) -> RangeFn:
@@ -115,7 +123,7 @@ def _two_last(rate: bool) -> RangeFn:
 
 
 def _x() -> Column:
-    return (TS - F.col("step_ts")) / 1000.0
+    return (TS() - F.col("step_ts")) / 1000.0
 
 
 def _deriv(range_ms: int) -> Column:
@@ -130,9 +138,9 @@ FUNCTIONS: dict[str, RangeFn] = {
     "irate": _two_last(True),
     "idelta": _two_last(False),
     "deriv": RangeFn(
-        partial=lambda r: {"n": F.count(F.lit(1)), "a": F.regr_slope(V, _x()), "lo": F.min("value"), "hi": F.max("value")}, final=_deriv
+        partial=lambda r: {"n": F.count(F.lit(1)), "a": F.regr_slope(V(), _x()), "lo": F.min("value"), "hi": F.max("value")}, final=_deriv
     ),
-    "resets": _counted(lambda: V < PV),
+    "resets": _counted(lambda: V() < PV()),
     "changes": _counted(_differs),
     "avg_over_time": RangeFn(
         partial=lambda r: {"a": F.sum("value"), "n": F.count(F.lit(1))}, merge={"a": _sum, "n": _sum}, final=lambda r: F.col("a") / F.col("n")
@@ -140,7 +148,7 @@ FUNCTIONS: dict[str, RangeFn] = {
     "sum_over_time": _simple(lambda: F.sum("value"), _sum),
     "count_over_time": RangeFn(partial=lambda r: {"n": F.count(F.lit(1))}, merge={"n": _sum}, final=lambda r: F.col("n").cast("double")),
     "min_over_time": _simple(lambda: F.min("value"), F.min),
-    "max_over_time": _simple(lambda: nan_last_max(V), lambda c: nan_last_max(F.col(c))),
+    "max_over_time": _simple(lambda: nan_last_max(V()), lambda c: nan_last_max(F.col(c))),
     "last_over_time": RangeFn(
         partial=lambda r: {"t1": F.max("ts"), "v1": F.max_by("value", "ts")}, merge={"t1": F.max, "v1": _last}, final=lambda r: F.col("v1")
     ),
@@ -182,8 +190,8 @@ def predict_fn(seconds: Column) -> RangeFn:
 
     parts = lambda r: {
         "n": F.count(F.lit(1)),
-        "slope": F.regr_slope(V, _x()),
-        "base": F.regr_intercept(V, _x()),
+        "slope": F.regr_slope(V(), _x()),
+        "base": F.regr_intercept(V(), _x()),
         "lo": F.min("value"),
         "hi": F.max("value"),
     }
@@ -224,10 +232,10 @@ def evaluate(samples: DataFrame, grid: Grid, range_ms: int, fn: RangeFn, plan: s
 
 
 def _repeated(rows: DataFrame, grid: Grid, range_ms: int, fn: RangeFn) -> DataFrame:
-    k0, k1 = grid.first_not_before(TS), grid.last_not_after(TS + (range_ms - 1))
+    k0, k1 = grid.first_not_before(TS()), grid.last_not_after(TS() + (range_ms - 1))
     rows = rows.withColumn("k0", k0).withColumn("k1", k1).filter("k0 <= k1")
     rows = rows.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("step_ts", grid.at(F.col("k"))).drop("k0", "k1", "k")
-    own = PT > F.col("step_ts") - range_ms
+    own = PT() > F.col("step_ts") - range_ms
     aggs = [c.alias(n) for n, c in fn.partial(range_ms).items()]
     aggs += [F.sum(F.when(own, make())).alias(n) for n, make in fn.pairs.items()]
     return rows.groupBy("series_id", "step_ts").agg(*aggs)
@@ -236,11 +244,11 @@ def _repeated(rows: DataFrame, grid: Grid, range_ms: int, fn: RangeFn) -> DataFr
 def _bucketed(rows: DataFrame, grid: Grid, range_ms: int, fn: RangeFn) -> DataFrame:
     wide = range_ms // grid.step
     enter = lambda ts: F.floor((ts - grid.start + grid.step - 1) / grid.step).cast("long")
-    rows = rows.withColumn("b", enter(TS)).filter((F.col("b") <= grid.last) & (F.col("b") > -wide))
+    rows = rows.withColumn("b", enter(TS())).filter((F.col("b") <= grid.last) & (F.col("b") > -wide))
     partial = fn.partial(range_ms)
     aggs = [c.alias(n) for n, c in partial.items()]
     if fn.pairs:
-        rows = rows.withColumn("pb", enter(PT))
+        rows = rows.withColumn("pb", enter(PT()))
         aggs += [F.sum(F.when(F.col("pb") == F.col("b"), make())).alias(n) for n, make in fn.pairs.items()]
     buckets = rows.groupBy("series_id", "b").agg(*aggs).withColumn("e", F.col("b") + (wide - 1))
     if fn.pairs:

@@ -22,9 +22,6 @@ from .store import RollupStore
 
 CAP = 1.05
 
-_T = F.col("step_ts")
-
-
 def _growth(range_ms: int, per_second: bool):
     span = (F.col("last") - F.col("first")) / 1000.0
     factor = F.least(F.lit(range_ms / 1000.0) / F.when(span > 0, span).otherwise(F.lit(1.0)), F.lit(CAP))
@@ -113,7 +110,7 @@ class Routes:
         spread = spread.withColumn("step_ts", grid.at(F.col("k")))
         order = Window.partitionBy("series_id", "step_ts").orderBy("ts")
         spread = spread.withColumn("pv", F.lag("last_value").over(order)).withColumn("pt", F.lag("last_time").over(order))
-        x = (F.col("last_time") - _T) / 1000.0
+        x = (F.col("last_time") - F.col("step_ts")) / 1000.0
         return spread.groupBy("series_id", "step_ts").agg(
             F.sum("counter_total").alias("grown"),
             F.min("first_time").alias("first"),
