@@ -292,7 +292,7 @@ def encode_documents(docs: DataFrame, path: str, keep: str | None = None) -> Dat
                     names=["doc_id", "ids", "n_pieces", *part.schema.names[2:]],
                 )
 
-    own = [F.col("doc_id").cast("long"), F.col("text").cast("string")] + [F.col(keep).cast("string")] * bool(keep)
+    own = [F.col("doc_id").cast("long"), F.col("text").cast("string")] + ([F.col(keep).cast("string")] if keep else [])
     out = "doc_id long, ids binary, n_pieces long" + f", `{keep}` string" * bool(keep)
     return docs.select(*own).mapInArrow(run, out)
 

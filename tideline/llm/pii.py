@@ -207,7 +207,7 @@ def _assign(entities: DataFrame, scratch: Scratch) -> DataFrame:
             break
     else:
         # Few forms, many entities: the hash in full as a suffix sets what is left apart, in place of the format.
-        done.append(todo.withColumn("surrogate", F.concat(_surrogate(F.col("kind"), F.col("canon"), F.lit(0)), F.lit("x"), _hash("rest", "canon"))))
+        done.append(todo.withColumn("surrogate", F.concat(_surrogate(F.col("kind"), F.col("canon"), F.lit(0)), F.lit("x"), _hash("rest", F.col("canon")))))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

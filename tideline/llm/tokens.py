@@ -18,6 +18,8 @@ MAX_CHARS = 12_000_000
 #: White space other than space, tab, line feed and carriage return.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 _SPACED = re.compile(r"[\n\t\r ] |[\t\r]")
+#: Libraries may class characters from here on by different versions of Unicode; words with these go to the tokenizer as they are.
+_STABLE = "\u0530"
 #: The split rule of the byte-level pre-tokenizer, and its visible form of each byte.
 _BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -88,12 +90,11 @@ class UnitEncoder:
         self.chars += size
         self.again |= units.difference(new)
         known, words, cut, merge = self.known, self.words, self.cut, self._merge
-        forms = new
+        odd = {u for u in new if not u or not u.isascii() and (max(u) >= _STABLE or _RARE_SPACE.search(u))}
+        for u in odd:
+            known[u] = self._whole(u) if u else b""
+        forms = new = [u for u in new if u not in odd] if odd else new
         if not self.keeps_space:
-            odd = {u for u in new if not u or not u.isascii() and _RARE_SPACE.search(u)}
-            for u in odd:
-                known[u] = self._whole(u) if u else b""
-            new = [u for u in new if u not in odd]
             forms = self.tokenizer.normalizer.normalize_str("\n".join(new)).split(" ") if new else []
             if len(forms) != len(new):
                 known.update((u, self._whole(u)) for u in new)
