@@ -56,7 +56,9 @@ def java_pattern(pattern: str) -> str:
 
 
 def matches(value: Column, op: str, want: str) -> Column:
-    """One matcher; a missing label counts as the empty text."""
+    """One matcher; a missing label counts as the empty text. Plain comparisons stay plain, so that a scan can use them."""
+    if op == "=" and want:
+        return value == want
     v = F.coalesce(value, F.lit(""))
     if op == "=":
         return v == want
