@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,39 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> dict[str, WideMetric]:
-    events = table(spark, sf_dir, "events")
-    ordered = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    numbered = events.withColumn("n", F.row_number().over(ordered))
-    les = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.lit(float("inf") if b == "+Inf" else float(b)).alias("bound")) for b in BOUNDS]))
-    buckets = events.withColumn("b", les).select("event_id", "event_type", "ts", "value", "b.le", "b.bound")
-    running = F.sum(F.when(F.col("value") <= F.col("bound"), 1).otherwise(0)).over(Window.partitionBy("event_type", "le").orderBy("ts", "event_id"))
-    daily = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus", "o_orderdate").agg(F.sum("o_totalprice").alias("total"))
-    shipped = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_shipdate").agg(F.sum("l_quantity").alias("total"))
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
-    named = nation.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nation"), "n_regionkey")
-    customer = table(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("nk"))
-    supplier = table(spark, sf_dir, "supplier").join(named, F.col("s_nationkey") == F.col("nk"))
-    info = named.join(region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("region", F.col("r_name"))
-    at = F.lit(T0)
-    gauge = lambda df, labels, ts, value, kind="gauge": WideMetric(df, labels, ts, value, kind)
+def metrics(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], WideMetric]]:
+    """Each metric by name, made when it is asked for."""
+    read = lambda name: table(spark, sf_dir, name)
+
+    def events(labels: tuple[str, ...]):
+        return lambda: WideMetric(read("events"), labels, millis("ts"), F.col("value"))
+
+    def numbered(value: Callable[[Column], Column]):
+        number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+        return WideMetric(read("events").withColumn("n", number), ("event_type",), millis("ts"), value(F.col("n")).cast("double"), "counter")
+
+    def buckets() -> WideMetric:
+        bounds = [F.struct(F.lit(b).alias("le"), F.lit(float("inf") if b == "+Inf" else float(b)).alias("bound")) for b in BOUNDS]
+        rows = read("events").withColumn("b", F.explode(F.array(*bounds))).select("event_id", "event_type", "ts", "value", "b.le", "b.bound")
+        order = Window.partitionBy("event_type", "le").orderBy("ts", "event_id")
+        rows = rows.withColumn("c", F.sum(F.when(F.col("value") <= F.col("bound"), 1).otherwise(0)).over(order))
+        return WideMetric(rows, ("event_type", "le"), millis("ts"), F.col("c").cast("double"), "histogram")
+
+    def daily(name: str, labels: tuple[str, ...], day: str, value: str):
+        return lambda: WideMetric(read(name).groupBy(*labels, day).agg(F.sum(value).alias("total")), labels, millis(day), F.col("total"))
+
+    def nations() -> DataFrame:
+        return read("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nation"), "n_regionkey")
+
+    def customer() -> WideMetric:
+        rows = read("customer").join(nations(), F.col("c_nationkey") == F.col("nk"))
+        rows = rows.withColumn("custkey", F.col("c_custkey")).withColumn("mktsegment", F.col("c_mktsegment"))
+        return WideMetric(rows, ("custkey", "mktsegment", "nation"), F.lit(T0), F.col("c_acctbal"))
+
+    def supplier() -> WideMetric:
+        rows = read("supplier").join(nations(), F.col("s_nationkey") == F.col("nk")).withColumn("suppkey", F.col("s_suppkey"))
+        return WideMetric(rows, ("suppkey", "nation"), F.lit(T0), F.col("s_acctbal"))
+
+    def info() -> WideMetric:
+        rows = nations().join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("region", F.col("r_name"))
+        return WideMetric(rows, ("nation", "region"), F.lit(T0), F.lit(1.0))
+
     return {
-        "events_value": gauge(events, ("event_type",), millis("ts"), F.col("value")),
-        "events_user_value": gauge(events, ("event_type", "user_id"), millis("ts"), F.col("value")),
-        "events_total": gauge(numbered, ("event_type",), millis("ts"), F.col("n").cast("double"), "counter"),
-        "events_reset_total": gauge(numbered, ("event_type",), millis("ts"), (F.col("n") % 97).cast("double"), "counter"),
-        "events_value_bucket": gauge(buckets.withColumn("c", running), ("event_type", "le"), millis("ts"), F.col("c").cast("double"), "histogram"),
-        "orders_daily": gauge(daily, ("o_orderpriority", "o_orderstatus"), millis("o_orderdate"), F.col("total")),
-        "lineitem_daily": gauge(shipped, ("l_returnflag", "l_linestatus"), millis("l_shipdate"), F.col("total")),
-        "customer_balance": gauge(
-            customer.withColumn("custkey", F.col("c_custkey")).withColumn("mktsegment", F.col("c_mktsegment")),
-            ("custkey", "mktsegment", "nation"),
-            at,
-            F.col("c_acctbal"),
-        ),
-        "supplier_balance": gauge(supplier.withColumn("suppkey", F.col("s_suppkey")), ("suppkey", "nation"), at, F.col("s_acctbal")),
-        "nation_info": gauge(info, ("nation", "region"), at, F.lit(1.0)),
+        "events_value": events(("event_type",)),
+        "events_user_value": events(("event_type", "user_id")),
+        "events_total": lambda: numbered(lambda n: n),
+        "events_reset_total": lambda: numbered(lambda n: n % 97),
+        "events_value_bucket": buckets,
+        "orders_daily": daily("orders", ("o_orderpriority", "o_orderstatus"), "o_orderdate", "o_totalprice"),
+        "lineitem_daily": daily("lineitem", ("l_returnflag", "l_linestatus"), "l_shipdate", "l_quantity"),
+        "customer_balance": customer,
+        "supplier_balance": supplier,
+        "nation_info": info,
     }
 
 

@@ -28,8 +28,9 @@ def table_store(spark: SparkSession, sf_dir: str, *names: str) -> TableStore:
     """The tables' metrics in the stored layout."""
     samples, series = None, None
     for name in names:
-        m = demo.metrics(spark, sf_dir)[name]
-        labels = demo.store(spark, sf_dir)._map(m)
+        wide = demo.store(spark, sf_dir)
+        m = wide.metric(name)
+        labels = wide._map(m)
         rows = m.df.select(F.lit(name).alias("metric_name"), labels.alias("labels"), m.ts.cast("long").alias("ts"), m.value.cast("double").alias("value"))
         rows = rows.withColumn("series_id", L.series_id(F.col("labels")))
         own = rows.select("metric_name", "series_id", "ts", "value", F.lit(False).alias("is_stale"))

@@ -6,9 +6,11 @@ Matchers and the time range become filters on physical columns, so that they rea
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -33,10 +35,6 @@ class Store:
         raise NotImplementedError
 
 
-def _none(df: DataFrame) -> DataFrame:
-    return df.filter(F.lit(False))
-
-
 @dataclass
 class WideMetric:
     """A metric whose labels are columns of a table."""
@@ -51,26 +49,31 @@ class WideMetric:
 
 @dataclass
 class WideStore(Store):
-    """Metrics over plain tables; matchers turn into filters on the label columns."""
+    """Metrics over plain tables; matchers turn into filters on the label columns.
+
+    A metric may be given as a function that makes it; it is called when a selector asks for the metric.
+    """
 
-    metrics: dict[str, WideMetric] = field(default_factory=dict)
+    metrics: dict[str, WideMetric | Callable[[], WideMetric]] = field(default_factory=dict)
 
-    def _matching(self, matchers: tuple[Matcher, ...]) -> list[tuple[str, WideMetric, Column]]:
-        import re
+    def metric(self, name: str) -> WideMetric:
+        if not isinstance(self.metrics[name], WideMetric):
+            self.metrics[name] = self.metrics[name]()
+        return self.metrics[name]
 
+    def _matching(self, matchers: tuple[Matcher, ...]) -> list[tuple[str, WideMetric, Column]]:
         out = []
-        for name, m in self.metrics.items():
-            on, keep = F.lit(True), True
+        for name in self.metrics:
+            named = [x for x in matchers if x.label == NAME]
+            hits = [x.value == name if x.op in ("=", "!=") else re.fullmatch(x.value, name, re.S) is not None for x in named]
+            if not all(hit == (x.op in ("=", "=~")) for x, hit in zip(named, hits, strict=True)):
+                continue
+            m, on = self.metric(name), F.lit(True)
             for x in matchers:
-                if x.label == NAME:
-                    hit = x.value == name if x.op in ("=", "!=") else re.fullmatch(x.value, name, re.S) is not None
-                    keep &= hit if x.op in ("=", "=~") else not hit
-                elif x.label in m.labels:
-                    on = on & L.matches(F.col(x.label).cast("string"), x.op, x.value)
-                else:
-                    on = on & L.matches(F.lit(""), x.op, x.value)
-            if keep:
-                out.append((name, m, on))
+                if x.label != NAME:
+                    value = F.col(x.label).cast("string") if x.label in m.labels else F.lit("")
+                    on = on & L.matches(value, x.op, x.value)
+            out.append((name, m, on))
         return out
 
     @staticmethod
@@ -90,7 +93,7 @@ class WideStore(Store):
             else:
                 dims.append(rows.limit(1).select(ident.alias("series_id"), L.empty().alias("labels")))
         if not samples:
-            spark = next(iter(self.metrics.values())).df.sparkSession
+            spark = SparkSession.active()
             return Selection(
                 spark.createDataFrame([], "series_id long, ts long, value double, is_stale boolean"),
                 spark.createDataFrame([], "series_id long, labels map<string,string>"),
@@ -108,14 +111,14 @@ class WideStore(Store):
                 own = m.df.limit(1).select(F.lit(name).alias("metric_name"), L.empty().alias("labels"))
             out = own if out is None else out.unionByName(own)
         if out is None:
-            spark = next(iter(self.metrics.values())).df.sparkSession
+            spark = SparkSession.active()
             return spark.createDataFrame([], "metric_name string, labels map<string,string>")
         return out
 
     def counts(self) -> DataFrame:
         out = None
-        for name, m in self.metrics.items():
-            own = m.df.agg(F.count(F.lit(1)).alias("samples")).select(F.lit(name).alias("metric_name"), "samples")
+        for name in self.metrics:
+            own = self.metric(name).df.agg(F.count(F.lit(1)).alias("samples")).select(F.lit(name).alias("metric_name"), "samples")
             out = own if out is None else out.unionByName(own)
         return out
 
