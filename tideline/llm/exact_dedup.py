@@ -116,6 +116,7 @@ def duplicate_groups(
             "doc_id", "text_sha256", F.col("keeper.doc_id").alias("keep_id"), "group_size"
         ),
     )
+    scratch.drop("digests", "groups", "state", "stream")
     shared = rows.filter("group_size > 1").select("doc_id", "text_sha256", "keep_id").distinct()
     texts = scratch.table(
         "texts",
@@ -134,7 +135,9 @@ def duplicate_groups(
         kept_texts = kept_texts.select("of", "kept_content").distinct()
     hits = texts.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | F.lit(digest is not sha256))
     differ = hits.join(kept_texts, F.col("keep_id").eqNullSafe(F.col("of"))).filter("content <> kept_content")
-    if not differ.select("keep_id").isEmpty():
+    if differ.select("keep_id").isEmpty():
+        scratch.drop("texts")
+    else:
         # Full bytes tell these rows apart, so full bytes are their key.
         split = differ.select("keep_id").distinct()
         again = texts.join(split, "keep_id", "left_semi")

@@ -222,10 +222,8 @@ def tree_join(left: RTree, right: RTree, percent: int) -> Iterator[tuple[np.ndar
                 yield left.order[a + own.start], right.order[b + other.start]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, as edges u, v."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    need = need.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), "id")
+def _load_sets(need: DataFrame, docs: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """id and its sorted shingle hashes, for the representatives in need(id, h1, h2). The one place where texts are shuffled."""
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -239,10 +237,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scra
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.table(
-        f"{name}-sets", texts.join(need, "id").select("id", "text", "h1", "h2").mapInArrow(load, "id long, s binary").dropDuplicates(["id"])
+    return scratch.table(
+        "sets", texts.join(need, "id").select("id", "text", "h1", "h2").mapInArrow(load, "id long, s binary").dropDuplicates(["id"])
     )
 
+
+def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, as edges u, v."""
+
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -343,17 +345,23 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     classes = scratch.table(
         "classes", rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     )
-    reps = scratch.table(
-        "reps",
-        rows.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "point", "keys"),
-    )
-    members = reps.select(F.explode("keys").alias("key"), "rep")
-    pages = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = scratch.table("shared", members.join(pages, "key"))
-    star = shared.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    # Pages are made of documents; of a class only one goes on from there.
+    members = rows.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
+    pages = members.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("key")
+    shared = scratch.table("entries", members.join(pages, "key"))
+    plain = scratch.table("plain", rows.drop("keys", "point"))
+    own = plain.filter("doc_id IS NOT NULL").join(classes, same).select("doc_id", "rep")
+    shared = scratch.table("shared", shared.join(own, "doc_id").select("key", "rep").distinct())
+    live = shared.select(F.col("rep").alias("doc_id")).distinct()
+    reps = rows.select("doc_id", *same, "point").join(live, "doc_id", "left_semi").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
+    reps = scratch.table("reps", reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]))
+    scratch.drop("rows", "entries")
+    pivots = shared.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    star = shared.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.table("star", _bounded(star, reps, percent))
-    links = _verify(star, docs, classes, scratch, "star", words, percent)
+    need = shared.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("id"), "h1", "h2")
+    sets = _load_sets(need, docs, scratch, words)
+    links = _verify(star, sets, scratch, "star", percent)
     first = scratch.table("first", components(links, scratch, "first"))
     labelled = (
         shared.join(first.withColumnRenamed("node", "rep"), "rep", "left")
@@ -372,12 +380,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     )
     rest = scratch.table("rest", rest)
     if not rest.isEmpty():
-        links = links.union(_verify(rest, docs, classes, scratch, "rest", words, percent))
+        links = links.union(_verify(rest, sets, scratch, "rest", percent))
         first = scratch.table("second", components(links, scratch, "second"))
     named = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         *[F.col(c).alias("_" + c) for c in same], "rep", F.coalesce("component", "rep").alias("component")
     )
-    own = rows.select("doc_id", *same)
+    own = plain.select("doc_id", *same)
     on = [F.col(c) == F.col("_" + c) for c in same]
     return own.join(named, [*on, F.col("doc_id").isNotNull()], "left").select(
         "doc_id",

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: list["Scratch"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,9 +61,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def at(self, name: str) -> str:
-        return f"{self.path}/{name}"
+        return f"{self.path}/{name}" if name else self.path
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write df and read it back; the result has no lineage but the files."""
@@ -81,5 +83,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def made() -> list[Scratch]:
+    """The runs so far whose tables are still there, oldest first."""
+    return list(_made)
+
+
+def release(runs: list[Scratch]) -> None:
+    """Remove the tables of these runs; for callers that have written whatever they need of the results."""
+    for scratch in runs:
+        scratch.drop("")
+        if scratch in _made:
+            _made.remove(scratch)
+
+
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
