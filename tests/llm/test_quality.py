@@ -62,3 +62,13 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert Q.score_documents(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_few_labels_in_a_large_table_are_all_learned_from(spark, monkeypatch):
+    """The bound is one of labelled rows, and the pool covers the table in shards."""
+    monkeypatch.setattr(Q, "POOL_ROWS", 150)
+    docs, labels, truth = corpus(spark, 5, 700, 0.12)
+    model = Q.train(docs, labels, sample_rows=100)
+    assert model.combine is not None
+    got = {r.doc_id: r.score for r in Q.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(truth[i]) for i in truth]) >= 0.95

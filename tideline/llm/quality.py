@@ -5,11 +5,13 @@ length and their pairs). Each learns from the labelled rows. In every round each
 the proportion of the classes, join the other's training rows. At the end each view is calibrated on labelled rows that
 were held out, a logistic combination of both is fitted there, and every document is scored.
 
-Training reads at most about `sample_rows` documents chosen by a hash of doc_id, labelled or not. All documents are scored on their whole texts.
+Training reads at most about `sample_rows` labelled documents: the rarer class up to half of that, the other up to the rest, by a hash
+of doc_id. Every document without a label is in the pool, which is dealt into shards of about POOL_ROWS. Each shard is co-trained with
+all of those labelled rows, and the means of the shards' linear models are the classifiers. All documents are scored on their whole texts.
 
 Defined cases: null and empty texts have the features of no words; null metadata is a value of its own; labels that
 are null, or differ between rows of one doc_id, are not learned from; with fewer than 10 labelled rows of a
-class every document gets that share of positive labels as its score (0.5 without labels); an empty table gives an empty result; other columns are ignored.
+class in the whole table every document gets that share of positive labels as its score (0.5 without labels); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ SHAPES = 10
 TEXT = WORDS + SHAPES + 4
 META = 256
 MAX_WORDS = 400_000
+POOL_ROWS = 16_384
 
 
 class TextView:
@@ -122,12 +126,13 @@ class Linear:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 200) -> "Linear":
         """Logistic regression by full-batch Adam; classes weigh the same."""
-        weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
+        weight = (np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)).astype(np.float32)
+        x, y = np.ascontiguousarray(x, np.float32), y.astype(np.float32)
         p = np.zeros(x.shape[1] + 1)
         m, v = np.zeros_like(p), np.zeros_like(p)
         for t in range(1, steps + 1):
-            r = (logistic(x @ p[:-1] + p[-1]) - y) * weight
-            g = np.append(x.T @ r + l2 * p[:-1], r.sum())
+            r = (logistic(x @ p[:-1].astype(np.float32) + np.float32(p[-1])) - y) * weight
+            g = np.append(r @ x + l2 * p[:-1], r.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         return cls(p[:-1].astype(np.float32), float(p[-1]))
@@ -161,19 +166,17 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 5, per_round: float = 0.05) -> CoTrained:
-    """label: 1, 0, or NaN for the pool."""
-    known = np.flatnonzero(~np.isnan(label))
-    pool = np.flatnonzero(np.isnan(label))
-    y = label[known]
-    prior = float(y.mean()) if len(y) else 0.5
-    if min(int((y > 0.5).sum()), int((y < 0.5).sum())) < 10:
-        return CoTrained(None, None, np.ones((2, 2)), None, prior)
-    held, own = known[::4], np.setdiff1d(known, known[::4])
-    views = (text, meta)
+def _split(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled rows that are held out, and those that are learned from."""
+    return known[::4], np.setdiff1d(known, known[::4])
+
+
+def _rounds(views: tuple[np.ndarray, np.ndarray], label: np.ndarray, prior: float, rounds: int = 5, per_round: float = 0.05) -> list[Linear]:
+    """The classifiers of both views after they have labelled the pool for each other."""
+    _, own = _split(np.flatnonzero(~np.isnan(label)))
+    free = np.flatnonzero(np.isnan(label))
     rows = [own.copy(), own.copy()]
     values = [label[own], label[own]]
-    free = pool.copy()
     models = [Linear.fit(v[r], l) for v, r, l in zip(views, rows, values, strict=True)]
     for _ in range(rounds):
         if not len(free):
@@ -195,29 +198,51 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
             break
         free = np.delete(free, gone)
         models = [Linear.fit(v[r], l) for v, r, l in zip(views, rows, values, strict=True)]
+    return models
+
+
+def _combined(models: list[Linear], views: tuple[np.ndarray, np.ndarray], label: np.ndarray, prior: float) -> CoTrained:
+    """Calibrated and combined on the rows held out."""
+    held, _ = _split(np.flatnonzero(~np.isnan(label)))
     z = np.stack([models[k](views[k][held]) for k in (0, 1)], 1)
     scale = np.array([_calibrate(z[:, k], label[held]) for k in (0, 1)])
     both = np.clip(z * scale[:, 0] + scale[:, 1], -15, 15)
     return CoTrained(models[0], models[1], scale, Linear.fit(both, label[held], l2=1e-3), prior)
 
 
-def _features(docs: DataFrame, extra: str | None = None) -> DataFrame:
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 5, per_round: float = 0.05) -> CoTrained:
+    """label: 1, 0, or NaN for the pool."""
+    y = label[~np.isnan(label)]
+    prior = float(y.mean()) if len(y) else 0.5
+    if min(int((y > 0.5).sum()), int((y < 0.5).sum())) < 10:
+        return CoTrained(None, None, np.ones((2, 2)), None, prior)
+    return _combined(_rounds((text, meta), label, prior, rounds, per_round), (text, meta), label, prior)
+
+
+def _features(docs: DataFrame, rest: str) -> DataFrame:
+    """Both views of the first five columns; the other columns, described by rest, go through."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = TextView()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                cols = [c.to_pylist() for c in part.columns]
+                cols = [c.to_pylist() for c in part.columns[1:5]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r.tobytes() for r in view(cols[1])], pa.binary()),
-                        pa.array([r.tobytes() for r in meta_view(*cols[2:5])], pa.binary()),
-                        pa.array(cols[5], pa.float64()),
+                        pa.array([r.tobytes() for r in view(cols[0])], pa.binary()),
+                        pa.array([r.tobytes() for r in meta_view(*cols[1:])], pa.binary()),
+                        *part.columns[5:],
                     ],
-                    names=["text", "meta", "label"],
+                    names=["text", "meta", *part.schema.names[5:]],
                 )
 
-    return docs.mapInArrow(run, "text binary, meta binary, label double")
+    return docs.mapInArrow(run, f"text binary, meta binary, {rest}")
+
+
+def _matrix(column: Iterable[bytes]) -> np.ndarray:
+    rows = list(column)
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -230,12 +255,42 @@ def _inputs(docs: DataFrame) -> DataFrame:
     )
 
 
+def _taught(docs: DataFrame, known: DataFrame, rows: int, views: tuple[np.ndarray, np.ndarray], label: np.ndarray, prior: float) -> list[Linear]:
+    """The means of the models that the shards of the pool lead to; rows is the size of the pool, the rows of docs that are not in known."""
+    shards = max(1, -(-rows // POOL_ROWS))
+    sent = docs.sparkSession.sparkContext.broadcast((views, label))
+
+    def fit(part: pa.Table, known: pa.Table) -> pa.Table:
+        (text, meta), label = sent.value
+        part = part.filter(pc.invert(pc.is_in(part.column("doc_id"), value_set=known.column("of").combine_chunks()))).sort_by("at")
+        if not part.num_rows:
+            return pa.table({"place": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        own = tuple(np.concatenate([v, _matrix(part.column(c).to_pylist())]) for v, c in ((text, "text"), (meta, "meta")))
+        models = _rounds(own, np.concatenate([label, np.full(part.num_rows, np.nan)]), prior)
+        value = np.concatenate([np.append(m.w, m.b) for m in models]).astype(np.float64)
+        return pa.table({"place": pa.array(np.arange(len(value))), "value": pa.array(value)})
+
+    # Features travel, not texts. Labelled rows are left out where they arrive; rows without doc_id are spread by text.
+    shard = lambda c: F.pmod(c, F.lit(shards)).alias("shard")
+    dealt = docs.select("*", "doc_id", F.xxhash64("doc_id", "text").alias("at"), shard(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    dealt = dealt.toDF("id", "body", *dealt.columns[2:])
+    got = (
+        _features(dealt, "doc_id long, at long, shard long")
+        .groupBy("shard")
+        .cogroup(known.select("of", shard(F.xxhash64("of"))).groupBy("shard"))
+        .applyInArrow(fit, "place long, value double")
+        .groupBy("place")
+        .agg(F.avg("value").alias("value"))
+        .toPandas()
+        .sort_values("place")["value"]
+        .to_numpy(float)
+    )
+    return [Linear(v[:-1].astype(np.float32), float(v[-1])) for v in (got[: TEXT + 1], got[TEXT + 1 :])]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> CoTrained:
     ship(docs.sparkSession)
-    rows = docs.count()
     own = _inputs(docs)
-    if rows > sample_rows:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(sample_rows / rows * (1 << 32)))
     known = (
         labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("of"))
@@ -243,12 +298,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> CoTr
         .filter("low = high")
         .select("of", (F.col("low") > 0).cast("double").alias("label"))
     )
-    sample = own.join(known, F.col("doc_id") == F.col("of"), "left").drop("of").repartition("doc_id").sortWithinPartitions("doc_id", "text")
-    got = _features(sample).toPandas()
-    if not len(got):
-        return CoTrained(None, None, np.ones((2, 2)), None, 0.5)
-    text, meta = (np.frombuffer(b"".join(got[c]), np.float32).reshape(len(got), -1) for c in ("text", "meta"))
-    return co_train(text, meta, got["label"].to_numpy(float))
+    same = F.col("doc_id") == F.col("of")
+    sizes = {r["label"]: r["count"] for r in own.select("doc_id").join(known, same).groupBy("label").count().collect()}
+    total, least = sum(sizes.values()), min(sizes.get(0.0, 0), sizes.get(1.0, 0))
+    prior = sizes.get(1.0, 0) / total if total else 0.5
+    if least < 10:
+        return CoTrained(None, None, np.ones((2, 2)), None, prior)
+    chosen = known.join(own.select("doc_id"), same, "left_semi")
+    if total > sample_rows:
+        fewer = min(least, sample_rows // 2)
+        share = {c: (fewer if n == least else sample_rows - fewer) / n for c, n in sizes.items()}
+        part = F.when(F.col("label") > 0, int(share[1.0] * (1 << 32))).otherwise(int(share[0.0] * (1 << 32)))
+        chosen = chosen.filter(F.pmod(F.xxhash64("of"), F.lit(1 << 32)) < part)
+    # At most about sample_rows keys, so the texts need not be shuffled.
+    sample = own.join(F.broadcast(chosen), same).drop("of").withColumn("at", F.xxhash64("doc_id", "text"))
+    got = _features(sample, "label double, at long").toPandas().sort_values("at")
+    views, label = (_matrix(got["text"]), _matrix(got["meta"])), got["label"].to_numpy(float)
+    rows = own.count() - total
+    models = _taught(own, known, rows, views, label, prior) if rows else _rounds(views, label, prior)
+    return _combined(models, views, label, prior)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
