@@ -54,3 +54,11 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unknown_languages_are_rejected(spark, tmp_path):
+    """What no learned language explains goes, also where only one is learned; short texts in a learned language stay."""
+    clean = [(i, "the house is small and the garden of the house is green", "en") for i in range(20)] + [(20, "the garden is small", "en")]
+    odd = [(30, "今天天气很好我们一起去公园散步", None), (31, "xqzj vwkkq zzxq qwpfj hgkkx vbnnq jjqz", None)]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in clean + odd], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()) == list(range(21))

@@ -67,6 +67,13 @@ class Model:
         tri, ctx, n = _trigrams(words)
         return np.add.reduceat(self.logp[tri] - self.logc[ctx], np.cumsum(n) - n, axis=0)
 
+    def gains(self, words: list[str]) -> np.ndarray:
+        """By how much each language explains each word better than letters that are all equally likely."""
+        tri, ctx, n = _trigrams(words)
+        each = self.logp[tri] - self.logc[ctx]
+        each[each > 0] = -np.log(64.0)  # more than its context: another trigram's bucket
+        return np.add.reduceat(each + np.float32(np.log(64.0)), np.cumsum(n) - n, axis=0)
+
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, bucket, n of hashed trigrams (bucket below BUCKETS) and contexts (above) over all rows of docs."""
@@ -156,6 +163,23 @@ class Scorer:
             found.append(self._mixture(self.rows[ids]) if len(ids) else None)
         return found
 
+    def explained(self, texts: list[str | None], found: list) -> list[bool]:
+        """Whether the mixture found for each text explains its words better than equally likely letters do."""
+        units = [(t or "").split() for t in texts]
+        words = {u: w for u in set().union(*units) if (w := _letters(u))}
+        at = {u: k for k, u in enumerate(words)}
+        gains = self.model.gains(list(words.values())) if words else None
+        out = []
+        for us, got in zip(units, found, strict=True):
+            ids = [at[u] for u in us if u in at]
+            if got is None or not ids:
+                out.append(False)
+                continue
+            own = gains[ids].astype(np.float64)
+            top = own.max(axis=1, keepdims=True)
+            out.append(bool((np.log(np.exp(own - top) @ got[0] + 1e-300) + top[:, 0]).sum() > 0))
+        return out
+
     def _mixture(self, ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, k = ll.shape
         top = ll.max(axis=1, keepdims=True)
@@ -229,7 +253,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
-    """The rows of docs whose language is known with at least min_score; columns as they are. One pass, no shuffle."""
+    """The rows of docs whose language is known with at least min_score and whose words it explains; columns as they are. One pass, no shuffle."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -242,7 +266,8 @@ def accept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
                 part = batch.slice(lo, 256)
                 texts = part.column(at).to_pylist()
                 found = scorer.mixtures(texts) if scorer else [None] * len(texts)
-                yield part.filter(pa.array([m is not None and float(m[0].max()) >= min_score for m in found], pa.bool_()))
+                fits = scorer.explained(texts, found) if scorer else [False] * len(texts)
+                yield part.filter(pa.array([on and float(m[0].max()) >= min_score for m, on in zip(found, fits, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
