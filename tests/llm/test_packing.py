@@ -59,7 +59,6 @@ def test_close_to_the_lower_bound():
 
 def test_documents(spark):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     rows = [(i, t) for i, t in AWKWARD if i != 7] + [(20, "  two  spaces \n\n and\ttabs "), (21, "a<|endoftext|>b")]
     got = pack_documents(documents(spark, rows), PATH, with_ids=True)
     pieces = got.collect()

@@ -1,6 +1,8 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -61,6 +63,18 @@ def test_repeated_and_null_ids(spark):
     assert got == [(0, True), (2, False), (4, False), (6, False)]
 
 
+def test_one_id_of_many_rows_is_cut(spark, tmp_path):
+    rows = [(7, f"text {i % 50}") for i in range(400)] + [(None, "x")] * 30 + [(-(2**63), "least")]
+    write_store(documents(spark, rows), str(tmp_path / "store"), PATH, 2, docs_per_shard=16, parts=5)
+    assert spark.read.parquet(str(tmp_path / "store")).groupBy("part").count().count() == 5
+    got = sorted(read_store(spark, str(tmp_path / "store")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 30 + [-(2**63)] + [7] * 400
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    plain = Tokenizer.from_file(PATH)
+    want = Counter(tuple(plain.encode(t, add_special_tokens=False).ids + [2]) for _, t in rows)
+    assert Counter(tuple(np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got) == want
+
+
 def test_empty(empty):  # noqa: F811
     assert round_trip(empty, PATH, 2).count() == 0
 
@@ -71,7 +85,17 @@ def test_empty(empty):  # noqa: F811
 def test_unit_encoder_is_the_tokenizer(name, texts):
     path = P.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    own = UnitEncoder(path, max_units=20, max_chars=200)
-    for t, data in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    own = UnitEncoder(path, budget=20_000)
+    for at in range(0, len(texts) + 1, 3):
+        some = texts[at : at + 3]
+        ids, firsts = own.encode(pa.array([*some, None], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in [*some, ""]]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_are_what_the_library_makes_of_them(name):
+    path = P.path(name)
+    plain, own = Tokenizer.from_file(path), UnitEncoder(path)
+    texts = ["a<|endoftext|>b", "<|startoftext|> hello", "plain", "x <|endoftext|>", "<|endoftext|", "\x00 <|endoftext|>\x00"]
+    ids, firsts = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

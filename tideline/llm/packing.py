@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .scratch import Scratch, ship
 from .tokens import encoder
+from .worker import blocks
 
 CAPACITY = 2048
 
@@ -144,18 +145,16 @@ def token_pieces(
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 512):
-                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
+            for lo, hi in blocks(batch.column(1)):
+                ids, firsts = encode(batch.column(1).slice(lo, hi - lo))
                 rows: list[tuple] = []
-                for doc, data in zip(ids[lo : lo + 512], encode(texts), strict=True):
-                    data += end
-                    n = len(data) // 4
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                    n = b - a + 1
                     first = n if n <= capacity else n % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        own = data[4 * a : 4 * b]
-                        rows.append((doc, k, a, b - a, zlib.crc32(own), own if with_ids else None))
+                    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        own = ids[a + x : min(a + y, b)].tobytes() + (end if y == n else b"")
+                        rows.append((doc, k, x, y - x, zlib.crc32(own), own if with_ids else None))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, _KINDS[: 5 + with_ids], strict=False)],

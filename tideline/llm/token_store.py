@@ -7,11 +7,14 @@ level is one directory entry and the bits of at most one block: any token is rea
 decoding a block of tokens.
 
 A file (one shard) is, in little-endian order: the magic bytes, the version, the number of documents, tokens, levels
-and the width; per document its doc_id and its first token within the shard; per level the number of chunks, the packed
-chunks, the bitmap and the directory. The store is a Parquet table of shards (shard, first_doc, start, n_docs, n_tokens, data), since
-Parquet is the one container that Spark writes to and reads from any file system; `data` is the file.
+and the width, and of documents without doc_id, which come first; per document its doc_id and its first token within the shard; per level the
+number of chunks, the packed chunks, the bitmap and the directory. The store is a Parquet table of shards (part, shard, start, n_docs, n_tokens, data),
+since Parquet is the one container that Spark writes to and reads from any file system; `data` is the file.
 
-Defined cases: null and empty texts hold the end id alone; documents with equal doc_id keep one order, by text;
+Documents are dealt by ranges of (doc_id, hash of the text), so one doc_id that many rows share is cut like any other run of rows. Parts
+follow one another in doc_id order, and each is cut into shards as it is written; `start` counts from the beginning of the part.
+
+Defined cases: null and empty texts hold the end id alone; documents with equal doc_id keep one order, by a hash of their texts;
 a null doc_id sorts first; an empty table has no shard; other columns are ignored.
 """
 
@@ -22,17 +25,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, ship
 from .tokens import encoder
+from .worker import blocks
 
-MAGIC = b"TLDAC1\0\0"
+MAGIC = b"TLDAC2\0\0"
 WIDTH = 8
 BLOCK = 512
-_HEAD = struct.Struct("<8sIQQII")
-_NULL_DOC = -(2**63)
+SHARD_TOKENS = 1 << 20
+_HEAD = struct.Struct("<8sIQQIIQ")
 BROADCAST_BYTES = 32 << 20
 
 
@@ -50,8 +55,8 @@ def _unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def write_shard(doc_ids: list[int], ids: np.ndarray, firsts: list[int], width: int = WIDTH) -> bytes:
-    """The file of these documents: ids of all of them in order, firsts the place of each one's first id."""
+def write_shard(doc_ids: list[int | None], ids: np.ndarray, firsts: list[int], width: int = WIDTH) -> bytes:
+    """The file of these documents, those without doc_id first: ids of all of them in order, firsts the place of each one's first id."""
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = (rest >> np.uint32(width)) > 0
@@ -61,8 +66,9 @@ def write_shard(doc_ids: list[int], ids: np.ndarray, firsts: list[int], width: i
         rest = rest[more] >> np.uint32(width)
         if not len(rest):
             break
-    out = [_HEAD.pack(MAGIC, 1, len(doc_ids), len(ids), len(levels), width)]
-    out += [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(firsts, "<u8").tobytes()]
+    nameless = sum(i is None for i in doc_ids)
+    out = [_HEAD.pack(MAGIC, 2, len(doc_ids), len(ids), len(levels), width, nameless)]
+    out += [np.asarray([0] * nameless + list(doc_ids[nameless:]), "<i8").tobytes(), np.asarray(firsts, "<u8").tobytes()]
     for n, chunks, bitmap, ranks in levels:
         out += [struct.pack("<QQQQ", n, len(chunks), len(bitmap), len(ranks)), chunks, bitmap, ranks]
     return b"".join(out)
@@ -72,8 +78,8 @@ class Shard:
     """A file opened for reading."""
 
     def __init__(self, data: bytes):
-        magic, version, docs, self.n_tokens, levels, self.width = _HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, docs, self.n_tokens, levels, self.width, self.nameless = _HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token file of this format")
         at = _HEAD.size
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
@@ -120,96 +126,72 @@ class Shard:
         return ids[a:b] if ids is not None else np.array([self.token(i) for i in range(a, b)], np.uint32)
 
 
-def _splits(docs: DataFrame, shards: int) -> list[int]:
-    """doc_ids that cut the table into about equal parts."""
-    if shards < 2:
-        return []
-    at = [i / shards for i in range(1, shards)]
-    return sorted({int(x) for x in docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", at, 0.2 / shards)})
-
-
 def write_store(
-    docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_per_shard: int = 1024, width: int = WIDTH
+    docs: DataFrame, path: str, vocabulary: str, end_id: int, docs_per_shard: int = 1024, width: int = WIDTH, parts: int | None = None
 ) -> None:
-    """Encode every text, add end_id, and write the shards in ascending doc_id order."""
+    """Encode every text, add end_id, and write the shards in ascending doc_id order; a shard ends at docs_per_shard documents or SHARD_TOKENS tokens."""
     spark = docs.sparkSession
     ship(spark)
-    end = int(end_id).to_bytes(4, "little")
-    rows = docs.count()
-    shards = max(1, -(-rows // docs_per_shard))
-    # Places to cut at are looked up in a sorted array, one entry a shard.
-    splits = spark.sparkContext.broadcast(np.array(_splits(docs, shards), np.int64))
-
-    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 256):
-                own = ids[lo : lo + 256]
-                data = [d + end for d in encode([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])]
-                shard = np.searchsorted(splits.value, [_NULL_DOC if i is None else i for i in own], side="right")
-                small = [np.frombuffer(d, "<u4").astype("<u2").tobytes() if _short(d) else b"\1" + d for d in data]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int64()), pa.array(own, pa.int64()), pa.array(small, pa.binary())],
-                    names=["shard", "doc_id", "ids"],
-                )
 
     def built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs_, datas = None, [], []
+        encode = encoder(vocabulary).encode
+        part, shard, start = TaskContext.get().partitionId(), 0, 0
+        doc_ids: list = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            parts = [np.frombuffer(d[1:], "<u4") if len(d) % 2 else np.frombuffer(d, "<u2").astype("<u4") for d in datas]
+            nonlocal shard, start
+            size = np.concatenate(sizes)
             ids = np.concatenate(parts)
-            firsts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            data = write_shard([_NULL_DOC if i is None else i for i in docs_], ids, firsts, width)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([at], pa.int64()),
-                    pa.array([docs_[0]], pa.int64()),
-                    pa.array([len(docs_)], pa.int64()),
-                    pa.array([len(ids)], pa.int64()),
-                    pa.array([data], pa.binary()),
-                ],
-                names=["shard", "first_doc", "n_docs", "n_tokens", "data"],
-            )
+            row = [part, shard, start, len(doc_ids), len(ids), write_shard(doc_ids, ids, np.cumsum(size) - size, width)]
+            shard, start = shard + 1, start + len(ids)
+            doc_ids.clear(), parts.clear(), sizes.clear()
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=_STORE_NAMES)
 
         for batch in batches:
-            for shard, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != at and docs_:
-                    yield flush()
-                    docs_, datas = [], []
-                at = shard
-                docs_.append(doc)
-                datas.append(data)
-        if docs_:
+            for lo, hi in blocks(batch.column(1)):
+                ids, firsts = encode(batch.column(1).slice(lo, hi - lo))
+                ids = np.insert(ids, firsts[1:], end_id)
+                firsts = firsts + np.arange(len(firsts))
+                names = batch.column(0).slice(lo, hi - lo).to_pylist()
+                at = 0
+                while at < len(names):
+                    room = max(0, SHARD_TOKENS - sum(map(len, parts)))
+                    upto = int(np.searchsorted(firsts, firsts[at] + room, side="right")) - 1
+                    upto = max(at + (not doc_ids), min(upto, at + docs_per_shard - len(doc_ids), len(names)))
+                    if upto > at:
+                        doc_ids += names[at:upto]
+                        parts.append(ids[firsts[at] : firsts[upto]])
+                        sizes.append(np.diff(firsts[at : upto + 1]))
+                    at = upto
+                    if at < len(names) or len(doc_ids) == docs_per_shard:
+                        yield flush()
+        if doc_ids:
             yield flush()
 
-    parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    text = F.col("text").cast("string")
+    key = ["doc_id", "h", "m"]  # rows that are equal in all else are told apart by their place
     files = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(encoded, "shard long, doc_id long, ids binary")
-        .repartition(parts, "shard")
-        .sortWithinPartitions("shard", "doc_id", "ids")
-        .mapInArrow(built, "shard long, first_doc long, n_docs long, n_tokens long, data binary")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
+        .repartitionByRange(parts, *key)
+        .sortWithinPartitions(*key)
+        .select("doc_id", "text")
+        .mapInArrow(built, "part long, shard long, start long, n_docs long, n_tokens long, data binary")
     )
     files.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
-def _short(data: bytes) -> bool:
-    """Whether every id fits 2 bytes; the shuffle then carries half."""
-    return not np.frombuffer(data, "<u2")[1::2].any()
+_STORE_NAMES = ["part", "shard", "start", "n_docs", "n_tokens", "data"]
 
 
-def shard_starts(store: DataFrame) -> DataFrame:
-    """Each shard's first token in the whole store; sums run over groups of shards and then within each."""
-    sizes = store.select("shard", "n_tokens").withColumn("g", F.floor(F.col("shard") / 4096))
-    groups = sizes.groupBy("g").agg(F.sum("n_tokens").alias("t"))
-    above = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = groups.select("g", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("base"))
-    return sizes.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, "g").select(
-        F.col("shard").alias("of"), (F.col("base") + F.col("own")).alias("start")
-    )
+def part_starts(store: DataFrame) -> DataFrame:
+    """of, base: each part's first token in the whole store. One row a part goes through one task."""
+    sizes = store.groupBy("part").agg(F.sum("n_tokens").alias("t"))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(F.col("part").alias("of"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("base"))
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -218,25 +200,26 @@ def read_store(spark, path: str) -> DataFrame:
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(data)
-                ids = shard.all()
-                own = [shard.document(k, ids) for k in range(len(shard.doc_ids))]
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = Shard(data.as_buffer())
+                n = len(shard.doc_ids)
+                ends = np.append(shard.firsts, shard.n_tokens)
+                words = pa.py_buffer(shard.all().astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None if i == _NULL_DOC else int(i) for i in shard.doc_ids], pa.int64()),
+                        pa.array(shard.doc_ids, pa.int64(), mask=np.arange(n) < shard.nameless),
                         pa.array(start + shard.firsts, pa.int64()),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in own], pa.binary()),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * ends).astype("<i4").tobytes()), words]),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
     ship(spark)
-    starts = shard_starts(store)
-    if store.select("shard").count() * 16 <= BROADCAST_BYTES:  # beyond it the join shuffles both sides
+    starts = part_starts(store)
+    if store.select("part").distinct().count() * 16 <= BROADCAST_BYTES:  # beyond it the join shuffles both sides
         starts = F.broadcast(starts)
-    return store.join(starts, store.shard == starts.of).select("start", "data").mapInArrow(
+    return store.join(starts, store.part == starts.of).select((F.col("base") + F.col("start")).alias("start"), "data").mapInArrow(
         decoded, "doc_id long, start long, n_tokens long, ids binary"
     )
 

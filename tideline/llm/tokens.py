@@ -1,8 +1,9 @@
 """Token ids of whole texts from the tokenizers library, with repeated words encoded once per worker.
 
-Both vocabularies here split a text at white space before they merge, so a text is the concatenation
-of units that encode on their own. The units a worker has not met yet go to the library together; their
-ids stay in a table of bounded size as little-endian unsigned 32-bit bytes.
+Both vocabularies here split a text at white space before they merge, so a text is the concatenation of units that encode on their own.
+The units a worker has not met lately are normalised and cut into words together, and each new word goes to the library's model. Texts in which
+a special token's string occurs, or whose white space does not split this way, go to the library whole. The ids are those of the
+library's own encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -11,115 +12,126 @@ import gc
 import json
 import os
 import re
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .worker import BUDGET, Recent, held
 
-#: Limits of a worker's tables; beyond them a table starts anew.
-MAX_UNITS = 700_000
-MAX_CHARS = 12_000_000
 #: White space other than space, tab, line feed and carriage return.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-_SPACED = re.compile(r"[\n\t\r ] |[\t\r]")
+_SPACED = r"[\n\t\r ] |[\t\r]"
 #: Libraries may class characters from here on by different versions of Unicode; words with these go to the tokenizer as they are.
-_STABLE = "\u0530"
+_STABLE = "԰"
 #: The split rule of the byte-level pre-tokenizer, and its visible form of each byte.
 _BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 
 
-def _visible() -> list[str]:
+def _visible() -> dict[int, str]:
     hidden = iter(range(256, 512))
     shown = set(_SHOWN)
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
 
-_encoders: dict[str, "UnitEncoder"] = {}
+def _ascii_rule(rule: str) -> str:
+    """The split rule for texts of ASCII."""
+    bare = rule.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"\s\p{L}\p{N}]", r"\sA-Za-z0-9]")
+    return bare.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 
 
 def encoder(path: str) -> "UnitEncoder":
     """This worker's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return held(("units", path), lambda: UnitEncoder(path))
 
 
 class UnitEncoder:
-    """encode(texts) gives each text's ids as bytes, 4 per id."""
+    """Encodes columns of texts."""
 
-    def __init__(self, path: str, max_units: int = MAX_UNITS, max_chars: int = MAX_CHARS):
+    def __init__(self, path: str, budget: int = BUDGET):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        described = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in described["added_tokens"]]
+        pre = described["pre_tokenizer"]
         self.keeps_space = pre["type"] == "ByteLevel"
         rule = _BYTE_WORDS if self.keeps_space else pre["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = regex.compile(rule).findall
+        self.cut, self.cut_ascii = regex.compile(rule).findall, re.compile(_ascii_rule(rule), re.ASCII).findall
         self.visible = _visible()
-        self.max_units, self.max_chars, self.chars = max_units, max_chars, 0
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.again: set[str] = set()  # units met in more than one block of texts
+        odd = [re.escape(t) for t in self.special] + ["\0"]
+        self.no_split = "|".join([*odd, _SPACED, _RARE_SPACE.pattern] if self.keeps_space else odd)
+        self.units = Recent(budget * 3 // 4)
+        self.words = Recent(budget // 4)
 
-    def _units(self, text: str) -> list[str] | None:
-        """None: the text does not split here."""
-        if not self.keeps_space:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if _SPACED.search(text) or not text.isascii() and _RARE_SPACE.search(text) or "\x0b" in text or "\x0c" in text:
-            return None
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-
-    def _merge(self, word: str) -> bytes:
-        shown = "".join([self.visible[b] for b in word.encode()])
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
-        self.words[word] = ids
-        return ids
+    def _merge(self, words: list[str]) -> None:
+        """Each word's ids from the library's model."""
+        shown = "\0".join(words).encode().decode("latin-1").translate(self.visible).split(self.visible[0]) if words else []
+        tokenize = self.tokenizer.model.tokenize
+        self.words.put(words, [array("I", [t.id for t in tokenize(form)]).tobytes() for form in shown])
 
     def _learn(self, units: set[str]) -> None:
         """Cut the new units into words, then merge each new word once."""
-        new = [u for u in units if u not in self.known]
-        size = sum(map(len, new))
-        if len(self.known) + len(new) > self.max_units or self.chars + size > self.max_chars:
-            kept = self.again if 2 * len(self.again) < self.max_units else ()
-            self.known = {u: self.known[u] for u in kept if len(u) < 64}
-            self.words.clear()
-            self.again = set()
-            new = [u for u in units if u not in self.known]
-            size = sum(map(len, new)) + sum(map(len, self.known))
-            self.chars = 0
-        self.chars += size
-        self.again |= units.difference(new)
-        known, words, cut, merge = self.known, self.words, self.cut, self._merge
-        odd = {u for u in new if not u or not u.isascii() and (max(u) >= _STABLE or _RARE_SPACE.search(u))}
-        for u in odd:
-            known[u] = self._whole(u) if u else b""
-        forms = new = [u for u in new if u not in odd] if odd else new
+        new = self.units.missing(units)
+        plain, other, odd = [], [], []
+        for u in new:
+            (plain if u.isascii() else odd if max(u) >= _STABLE or _RARE_SPACE.search(u) else other).append(u)
+        self.units.put(odd, list(map(self._whole, odd)))
+        forms, low = other, plain
         if not self.keeps_space:
-            forms = self.tokenizer.normalizer.normalize_str("\n".join(new)).split(" ") if new else []
-            if len(forms) != len(new):
-                known.update((u, self._whole(u)) for u in new)
-                return
-        for u, form in zip(new, forms, strict=True):
-            known[u] = b"".join([words.get(w) or merge(w) for w in cut(form)])
+            forms = self.tokenizer.normalizer.normalize_str("\n".join(other)).split(" ") if other else []
+            if len(forms) != len(other):
+                self.units.put(other, list(map(self._whole, other)))
+                forms = other = []
+            low = "\n".join(plain).lower().split("\n") if plain else []
+        cuts = [*map(self.cut_ascii, low), *map(self.cut, forms)]
+        self._merge(self.words.missing(set().union(*cuts)))
+        words = self.words.now
+        self.units.put(plain + other, [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in cuts])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _units(self, texts: pa.Array) -> pa.ListArray:
+        if self.keeps_space:
+            return pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        return pc.ascii_split_whitespace(texts)
+
+    def _ids(self, distinct: pa.Array) -> list[bytes]:
+        self.units.turn(), self.words.turn()
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), "\0")[0].as_py().split("\0")
+        ids = list(map(self.units.now.get, texts))
+        lacking = [k for k, own in enumerate(ids) if own is None]
+        if lacking:
+            self._learn({texts[k] for k in lacking})
+            get = self.units.now.__getitem__
+            for k in lacking:
+                ids[k] = get(texts[k])
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids begin and end (one more than there are texts). Null is empty."""
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the tables are large to walk
         try:
-            for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                units = [self._units(t) for t in part]
-                self._learn(set().union(*(us for us in units if us is not None)))
-                get = self.known.__getitem__
-                out += [
-                    self._whole(t) if us is None else b"".join(map(get, us)) for t, us in zip(part, units, strict=True)
-                ]
+            whole = pc.match_substring_regex(texts.fill_null(""), self.no_split)
+            units = self._units(pc.if_else(whole, "", texts.fill_null("")))
+            coded = units.flatten().dictionary_encode()
+            codes, ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), self._ids(coded.dictionary) if len(texts) else []
+            firsts = units.offsets.to_numpy(zero_copy_only=False).astype(np.int64) - units.offsets[0].as_py()
+            for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):  # an empty text is one unit, which stands for the whole one
+                codes[firsts[k]] = len(ids)
+                ids.append(self._whole(texts[int(k)].as_py()))
         finally:
             if collects:
                 gc.enable()
-        return out
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store = np.frombuffer(b"".join(ids), "<u4")
+        starts, each = np.cumsum(n) - n, n[codes]
+        ends = np.cumsum(each)
+        out = store[np.repeat(starts[codes] - ends + each, each) + np.arange(int(each.sum()))]
+        return out, np.append(0, ends)[firsts]
