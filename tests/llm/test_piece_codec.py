@@ -1,6 +1,7 @@
 import struct
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from tideline.llm import piece_codec as C
 
 PATH = P.path("piece_bpe_32k.model")
 CODEC = C.PieceCodec(C.Model.load(PATH))
+DECODER = C.Decoder(CODEC.model)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
@@ -23,7 +25,7 @@ def ids(codec, text):
 @given(st.text(alphabet=st.sampled_from(list("aaeeiotnsrl  .,'\n\t1029é漢😀▁")) | st.characters(codec="utf-8"), max_size=50))
 def test_same_as_the_library(text):
     assert ids(CODEC, text) == LIBRARY.encode(text)
-    assert CODEC.decode(CODEC.encode(text)) == text.replace("▁", " ")
+    assert DECODER.decode(CODEC.encode(text)) == text.replace("▁", " ")
 
 
 @pytest.mark.parametrize("text", ["", " ", "   a  b ", "The  quick brown\n\nfox", "A" * 400, "internationalization's", "    return x", "<s>"])
@@ -72,11 +74,22 @@ def test_empty(empty):  # noqa: F811
     assert C.decode_documents(C.encode_documents(empty, PATH), PATH).count() == 0
 
 
-def test_small_tables_of_known_words():
-    codec = C.PieceCodec(C.Model.load(PATH))
-    before, C.MAX_UNITS = C.MAX_UNITS, 3
-    try:
-        for t in ("a b c d e f g", "g f e d c b a", "aa bb cc"):
-            assert ids(codec, t) == LIBRARY.encode(t)
-    finally:
-        C.MAX_UNITS = before
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aeit  .\n\x00é漢▁")), max_size=30), max_size=8))
+def test_columns_are_the_texts_and_tables_stay_small(texts):
+    codec = C.PieceCodec(C.Model.load(PATH)) if SMALL[0] is None else SMALL[0]
+    SMALL[0] = codec
+    codec.known.budget = 2_000
+    got, firsts = codec.encode_column(pa.array([*texts, None], pa.string()))
+    assert [got[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == [LIBRARY.encode(t) for t in [*texts, ""]]
+    assert len(codec.known.now) + len(codec.known.old) < 60
+
+
+SMALL = [None]
+
+
+def test_decoded_in_the_same_pass(spark):
+    rows = [*AWKWARD, (60, "a ▁ b")]
+    got = C.encode_documents(documents(spark, rows), PATH, decode=True).collect()
+    assert all(r.same for r in got)
+    assert sorted((repr(r.doc_id), r.decoded) for r in got) == sorted((repr(i), (t or "").replace("▁", " ")) for i, t in rows)

@@ -15,6 +15,7 @@ lang are scored but not learned from; equal texts get equal results; ties go to
 from __future__ import annotations
 
 import gc
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ship
+from .worker import held
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
-MAX_WORDS = 400_000
+#: Words of a table; beyond them a table starts anew. At four languages a word takes about 200 bytes.
+MAX_WORDS = 200_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -56,6 +59,7 @@ class Model:
 
     def __init__(self, languages: list[str], tri: np.ndarray, ctx: np.ndarray, smooth: float = 0.02):
         alphabet = 64.0
+        self.name = uuid.uuid4().hex  # tells workers one model from another
         self.languages = languages
         self.logp = np.log(tri + smooth).astype(np.float32)
         self.logc = np.log(ctx + smooth * alphabet).astype(np.float32)
@@ -138,7 +142,7 @@ class Scorer:
 
     def _learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.index]
-        if len(self.index) + len(new) > MAX_WORDS or self.chars > 8_000_000:
+        if len(self.index) + len(new) > MAX_WORDS or self.chars > 4_000_000:
             self._reset()
             new = list(units - {""})
         self.chars += sum(map(len, new))
@@ -211,7 +215,9 @@ class Scorer:
         return shares
 
 
-_scorers: dict[int, Scorer] = {}
+def scorer_of(model: Model) -> Scorer:
+    """This worker's scorer of a model."""
+    return held(("languages", model.name), lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -221,10 +227,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, key = sent.value, id(sent)
-        if model is not None and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model)
+        model = sent.value
+        scorer = model and scorer_of(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -232,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 collects = gc.isenabled()
                 gc.disable()
                 texts = part.column(1).to_pylist()
-                for got in _scorers[key].mixtures(texts) if model is not None else [None] * len(texts):
+                for got in scorer.mixtures(texts) if model is not None else [None] * len(texts):
                     if got is None:
                         names.append(UNKNOWN), scores.append(0.0), sets.append([])
                         continue
@@ -260,7 +264,7 @@ def accept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent.value is not None else None
+        scorer = scorer_of(sent.value) if sent.value is not None else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

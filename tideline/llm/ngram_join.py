@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, ship
+from .worker import BUDGET, Recent, held
 
 DIMS = 128
 PAGE = 1024
 NODE = 16
 BAND = 1.5
-MAX_WORDS = 500_000
 ORDER_DOCS = 20_000
 GROUPS_FROM = 85
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -54,24 +54,20 @@ def _mix(x: np.ndarray, by: np.uint64 = _A) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of hashed shingles; remembers the hashes of words it has met."""
+    """Sets of hashed shingles; remembers the hashes of words it has met lately."""
 
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
+        self.known = Recent(BUDGET // 2)
 
     def __call__(self, text: str | None) -> np.ndarray:
         units = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not units:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for u in set(units).difference(known):
-            known[u] = xxhash.xxh3_64_intdigest(u)
-        h = np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
-        if sum(map(len, units)) > 4_000_000:
-            known.clear()
+        self.known.turn()
+        new = self.known.missing(set(units))
+        self.known.put(new, list(map(xxhash.xxh3_64_intdigest, new)))
+        h = np.fromiter(map(self.known.now.__getitem__, units), np.uint64, len(units))
         k = min(self.words, len(h))
         rolled = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
         for i in range(k):
@@ -79,6 +75,11 @@ class Shingler:
         return np.unique(rolled)
 
 
+def shingler(words: int) -> Shingler:
+    """This worker's shingler."""
+    return held(("shingles", words), lambda: Shingler(words))
+
+
 def bands(limit: int = 1 << 40) -> list[int]:
     """The smallest size of each band."""
     out = [1]
@@ -139,7 +140,7 @@ def frequent_shingles(docs: DataFrame, words: int, rows: int = ORDER_DOCS, most:
         sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / total * (1 << 32)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = shingler(words)
         sets = [shingle(t) for batch in batches for t in batch.column(1).to_pylist()]
         found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         more = n > 1  # what one part of the sample holds once is hardly frequent
@@ -161,7 +162,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
         frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = shingler(words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -226,7 +227,7 @@ def _load_sets(need: DataFrame, docs: DataFrame, scratch: Scratch, words: int) -
     """id and its sorted shingle hashes, for the representatives in need(id, h1, h2). The one place where texts are shuffled."""
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = shingler(words)
         for batch in batches:
             ids, sets = [], []
             for doc, text, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):

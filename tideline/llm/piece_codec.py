@@ -17,25 +17,28 @@ occur in Spark strings; texts are encoded whole; an empty table gives an empty r
 
 from __future__ import annotations
 
+import functools
 import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import ship
+from .worker import BUDGET, Recent, blocks, held, spread
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _UNKNOWN_PENALTY = 10.0
-MAX_UNITS = 500_000
-MAX_CHARS = 10_000_000
+MAX_FITS = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -104,7 +107,7 @@ class Model:
 
 
 class PieceCodec:
-    """encode(text) gives ids as little-endian 4-byte words; decode(ids) gives the text."""
+    """Encodes texts."""
 
     def __init__(self, model: Model):
         import ahocorasick
@@ -121,18 +124,8 @@ class PieceCodec:
             self.automaton.make_automaton()
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.least = min(self.score.values(), default=0.0) - _UNKNOWN_PENALTY
-        self.known: dict[str, bytes] = {}
-        self.chars = 0
+        self.known = Recent(2 * BUDGET // 3)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.values: list[bytes | None] = [self._value(i) for i in range(len(model.pieces))]
-
-    def _value(self, i: int) -> bytes:
-        piece, _, kind = self.model.pieces[i]
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
 
     def _merged(self, text: str) -> list[str]:
         """The cut of a short text by merging the best pair again and again."""
@@ -151,7 +144,7 @@ class PieceCodec:
     def _fit(self, a: str, b: str) -> bool:
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) > MAX_UNITS:
+            if len(self.fits) > MAX_FITS:
                 self.fits.clear()
             found = self.fits[a, b] = self._merged(a + b) == ([a, b] if a else [b])
         return found
@@ -234,67 +227,95 @@ class PieceCodec:
         return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def encode(self, text: str | None) -> bytes:
+        """The ids of one text, 4 bytes each."""
         text = self._prepared(text or "")
         if not self.splits or not self.model.byte_fallback:
             return self._coded(text)
-        units = _UNITS.findall(text) if SPACE * 2 in text else self._plain_units(text)
-        known = self.known
-        out = []
-        for u in units:
-            got = known.get(u)
-            if got is None:
-                got = self._coded(u)
-                self.chars += len(u)
-                if len(known) > MAX_UNITS or self.chars > MAX_CHARS:
-                    known.clear()
-                    self.chars = len(u)
-                known[u] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self._coded, _UNITS.findall(text)))
+
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        self.known.turn()
+        return self.known.look_up(distinct, lambda new: list(map(self._coded, new)))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids begin and end. Null is empty."""
+        texts = texts.fill_null("")
+        if not self.splits or not self.model.byte_fallback or self.model.trim:
+            odd = pa.array(np.ones(len(texts), bool))
+        else:
+            odd = pc.match_substring_regex(texts, f"^ |  |\0|{SPACE}")
+        whole = {int(k): self.encode(texts[int(k)].as_py()) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+        plain = pc.if_else(odd, "", texts)
+        if self.model.dummy_prefix:
+            plain = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise(" ", plain, ""))
+        return spread(pc.split_pattern(pc.replace_substring(plain, " ", f"\0{SPACE}"), "\0"), whole, self._ids)
+
+
+class Decoder:
+    """decode(ids) gives the text."""
+
+    def __init__(self, model: Model):
+        self.dummy_prefix = model.dummy_prefix
+        self.values = [self._value(p, kind) for p, _, kind in model.pieces]
 
     @staticmethod
-    def _plain_units(text: str) -> list[str]:
-        first, *rest = text.split(SPACE)
-        return ([first] if first else []) + [SPACE + u for u in rest]
+    def _value(piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == CONTROL:
+            return b""
+        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids: bytes | np.ndarray) -> str:
         values = self.values
-        data = b"".join([values[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
-        return data[1:] if self.model.dummy_prefix and data.startswith(" ") else data
+        data = b"".join([values[i] for i in memoryview(ids).cast("B").cast("I")]).decode("utf-8", "replace")
+        return data[1:] if self.dummy_prefix and data.startswith(" ") else data
+
+
+class _Both:
+    """A worker's tables of one model file; what is not asked for is not built."""
+
+    def __init__(self, path: str):
+        self.model = Model.load(path)
 
+    @functools.cached_property
+    def codec(self) -> PieceCodec:
+        return PieceCodec(self.model)
 
-_codecs: dict[str, PieceCodec] = {}
+    @functools.cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self.model)
 
 
-def codec(path: str) -> PieceCodec:
-    """This worker's codec of a model file."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(Model.load(path))
-    return _codecs[path]
+def _worker(path: str) -> _Both:
+    return held(("pieces", path), lambda: _Both(path))
 
 
-def encode_documents(docs: DataFrame, path: str, keep: str | None = None) -> DataFrame:
-    """doc_id, ids (4-byte words), n_pieces of every row, and the string column `keep` if one is named."""
+def encode_documents(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
+    """doc_id, ids (4-byte words), n_pieces of every row; with decode also decoded, the text that the ids stand for, and same, whether it is the row's text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = _worker(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in blocks(batch.column(1)):
+                texts = batch.column(1).slice(lo, hi - lo)
                 collects = gc.isenabled()
                 gc.disable()
-                ids = [own.encode(t) for t in part.column(1).to_pylist()]
+                ids, firsts = own.codec.encode_column(texts)
+                ids = ids.astype("<u4")
+                cuts = [ids[a:b] for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
+                out = [batch.column(0).slice(lo, hi - lo), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array(np.diff(firsts), pa.int64())]
+                if decode:
+                    back = pa.array(list(map(own.decoder.decode, cuts)), pa.string())
+                    out += [back, pc.equal(back, pc.replace_substring(texts.fill_null(""), SPACE, " "))]
                 if collects:
                     gc.enable()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), *part.columns[2:]],
-                    names=["doc_id", "ids", "n_pieces", *part.schema.names[2:]],
-                )
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    own = [F.col("doc_id").cast("long"), F.col("text").cast("string")] + ([F.col(keep).cast("string")] if keep else [])
-    out = "doc_id long, ids binary, n_pieces long" + f", `{keep}` string" * bool(keep)
-    return docs.select(*own).mapInArrow(run, out)
+    names = ["doc_id", "ids", "n_pieces"] + ["decoded", "same"] * decode
+    out = "doc_id long, ids binary, n_pieces long" + ", decoded string, same boolean" * decode
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -302,9 +323,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        decode = _worker(path).decoder.decode
         for batch in batches:
-            texts = [own.decode(i) for i in batch.column("ids").to_pylist()]
+            texts = [decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))

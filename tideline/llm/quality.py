@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ship
+from .worker import held
 
 WORDS = 512
 SHAPES = 10
 TEXT = WORDS + SHAPES + 4
 META = 256
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 POOL_ROWS = 16_384
 
 
@@ -69,7 +70,7 @@ class TextView:
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > MAX_WORDS or self.chars > 8_000_000:
+        if len(self.index) + len(new) > MAX_WORDS or self.chars > 4_000_000:
             self._reset()
             new = list(words)
         if not new:
@@ -223,7 +224,7 @@ def _features(docs: DataFrame, rest: str) -> DataFrame:
     """Both views of the first five columns; the other columns, described by rest, go through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = TextView()
+        view = held(("quality",), TextView)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -326,7 +327,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = TextView()
+        view = held(("quality",), TextView)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

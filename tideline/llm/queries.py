@@ -53,17 +53,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; the digests of both, and whether the text came back."""
-    from .piece_codec import decode_documents, encode_documents
+    from .piece_codec import encode_documents
 
-    docs = table_of(spark, sf_dir, "documents")
-    path = _vocabulary("piece_bpe_32k.model")
-    source = docs.select("doc_id", F.col("text"), F.col("text").alias("given"))
-    return decode_documents(encode_documents(source, path, keep="given"), path).select(
+    return encode_documents(table_of(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), decode=True).select(
         "doc_id",
         "n_pieces",
         F.crc32("ids").cast("long").alias("ids_crc32"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-        (F.col("text") == F.translate(F.coalesce("given", F.lit("")), "\u2581", " ")).alias("round_trip"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("same").alias("round_trip"),
     )
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .worker import BUDGET, Recent, held
+from .worker import BUDGET, Recent, held, spread
 
 #: White space other than space, tab, line feed and carriage return.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
@@ -74,24 +74,24 @@ class UnitEncoder:
         tokenize = self.tokenizer.model.tokenize
         self.words.put(words, [array("I", [t.id for t in tokenize(form)]).tobytes() for form in shown])
 
-    def _learn(self, units: set[str]) -> None:
-        """Cut the new units into words, then merge each new word once."""
-        new = self.units.missing(units)
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Cut new units into words, merge each new word once, and put the units' ids together."""
         plain, other, odd = [], [], []
         for u in new:
             (plain if u.isascii() else odd if max(u) >= _STABLE or _RARE_SPACE.search(u) else other).append(u)
-        self.units.put(odd, list(map(self._whole, odd)))
         forms, low = other, plain
         if not self.keeps_space:
             forms = self.tokenizer.normalizer.normalize_str("\n".join(other)).split(" ") if other else []
             if len(forms) != len(other):
-                self.units.put(other, list(map(self._whole, other)))
+                odd += other
                 forms = other = []
             low = "\n".join(plain).lower().split("\n") if plain else []
         cuts = [*map(self.cut_ascii, low), *map(self.cut, forms)]
         self._merge(self.words.missing(set().union(*cuts)))
         words = self.words.now
-        self.units.put(plain + other, [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in cuts])
+        ids = [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in cuts]
+        found = dict(zip(plain + other, ids, strict=True)) | {u: self._whole(u) for u in odd}
+        return [found[u] for u in new]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -101,37 +101,19 @@ class UnitEncoder:
             return pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         return pc.ascii_split_whitespace(texts)
 
-    def _ids(self, distinct: pa.Array) -> list[bytes]:
+    def _ids(self, distinct: list[str]) -> list[bytes]:
         self.units.turn(), self.words.turn()
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), "\0")[0].as_py().split("\0")
-        ids = list(map(self.units.now.get, texts))
-        lacking = [k for k, own in enumerate(ids) if own is None]
-        if lacking:
-            self._learn({texts[k] for k in lacking})
-            get = self.units.now.__getitem__
-            for k in lacking:
-                ids[k] = get(texts[k])
-        return ids
+        return self.units.look_up(distinct, self._learn)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's ids begin and end (one more than there are texts). Null is empty."""
+        texts = texts.fill_null("")
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the tables are large to walk
         try:
-            whole = pc.match_substring_regex(texts.fill_null(""), self.no_split)
-            units = self._units(pc.if_else(whole, "", texts.fill_null("")))
-            coded = units.flatten().dictionary_encode()
-            codes, ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), self._ids(coded.dictionary) if len(texts) else []
-            firsts = units.offsets.to_numpy(zero_copy_only=False).astype(np.int64) - units.offsets[0].as_py()
-            for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):  # an empty text is one unit, which stands for the whole one
-                codes[firsts[k]] = len(ids)
-                ids.append(self._whole(texts[int(k)].as_py()))
+            odd = pc.match_substring_regex(texts, self.no_split)
+            whole = {int(k): self._whole(texts[int(k)].as_py()) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+            return spread(self._units(pc.if_else(odd, "", texts)), whole, self._ids)
         finally:
             if collects:
                 gc.enable()
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        store = np.frombuffer(b"".join(ids), "<u4")
-        starts, each = np.cumsum(n) - n, n[codes]
-        ends = np.cumsum(each)
-        out = store[np.repeat(starts[codes] - ends + each, each) + np.arange(int(each.sum()))]
-        return out, np.append(0, ends)[firsts]

@@ -56,6 +56,17 @@ class Recent:
                 lacking -= back
         return list(lacking)
 
+    def look_up(self, keys: list, make: Callable[[list], list]) -> list:
+        """The values of distinct keys; make gives those of keys that have none."""
+        out = list(map(self.now.get, keys))
+        places = [k for k, value in enumerate(out) if value is None]
+        if places:
+            new = self.missing({keys[k] for k in places})
+            self.put(new, make(new))
+            for k in places:
+                out[k] = self.now[keys[k]]
+        return out
+
     def put(self, keys, values: list) -> None:
         self.now.update(zip(keys, values, strict=True))
         self.size += _ENTRY * len(keys) + sum(map(len, keys))
@@ -71,3 +82,27 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
         yield lo, hi
         lo = hi
+
+
+def spread(units: pa.ListArray, whole: dict[int, bytes], ids_of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, and where each row's ids begin and end (one more than there are rows).
+
+    A row's ids are those of its units; ids_of gives them (4 bytes each) for distinct units. Rows in `whole`, whose one unit is empty, have the ids given there.
+    No unit may hold a zero character.
+    """
+    coded = units.flatten().dictionary_encode()
+    own = coded.dictionary
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # One long string splits faster than an array of strings converts.
+    ids = ids_of(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "\0")[0].as_py().split("\0")) if len(own) else []
+    firsts = units.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    firsts = firsts - firsts[0]
+    for k, data in whole.items():
+        codes[firsts[k]] = len(ids)
+        ids.append(data)
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    store = np.frombuffer(b"".join(ids), "<u4")
+    starts, each = np.cumsum(n) - n, n[codes]
+    ends = np.cumsum(each)
+    out = store[np.repeat(starts[codes] - ends + each, each) + np.arange(int(each.sum()))]
+    return out, np.append(0, ends)[firsts]
