@@ -81,6 +81,29 @@ def test_null_and_repeated_ids(spark):
     assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == [("1", "1"), ("1", "1"), ("2", "1"), ("None", "None"), ("None", "None")]
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    base = [f"w{k}" for k in range(40)]
+    a, b = " ".join(base), " ".join(base[::-1])
+    rows = [(1, a), (1, b), (0, "zz " + b), (5, b + " x"), (1, b.upper()), (7, a)]
+    got = J.link_documents(documents(spark, rows), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 90)
+    rng = random.Random(11)
+    more = [(rng.randint(0, 60), t) for _, t in copies(11)]
+    got = J.link_documents(documents(spark, more), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(more, 3, 90)
+    kept = J.keep_one(documents(spark, rows), 3, 90).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, "zz " + b), (1, a)]
+
+
+def test_counts_cover_all_documents(spark):
+    rows = [(i, f"x{i} y{i} z{i} common words here") for i in range(50)]
+    found = J.frequent_shingles(documents(spark, rows).repartition(3), 3)
+    assert found.tolist() == sorted(J.Shingler(3)("common words here").tolist())
+    many, n = np.arange(1000, dtype=np.uint64), np.arange(1000)
+    kept, low = J._thinned(many, n, 10)
+    assert kept.tolist() == list(range(990, 1000)) and low.tolist() == list(range(1, 11))
+
+
 def test_keep_one(spark):
     rows = copies(5, 60)
     docs = documents(spark, rows)
@@ -89,6 +112,19 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
 
 
+def test_sql(spark):
+    import duckdb
+
+    from tideline.llm.queries import OP2_SQL
+
+    rows = copies(12, 90)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*rows, (5000, None), (5001, " \n"), (5002, "Two WORDS"), (5003, "two words")])
+    want = brute([*rows, (5000, None), (5001, " \n"), (5002, "Two WORDS"), (5003, "two words")], 3, 90)
+    assert sorted(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({OP2_SQL})").fetchall()) == want
+
+
 def test_empty(empty):  # noqa: F811
     assert J.link_documents(empty).count() == 0 and J.keep_one(empty).count() == 0
 

@@ -9,7 +9,7 @@ goes on. The join hashes shingles into groups in two ways:
   entered only for the few documents whose filled groups do not outnumber d, which keeps the lookup complete and free of one hot entry.
   Below 85 % groups would hold two or three shingles only and there would be very many. There the entries are the first
   n - ceil(t * n) + 1 shingles of a set in one order of all shingles; sets that link have one of these in common. The order puts
-  shingles that are frequent in a sample of at most about ORDER_DOCS documents last; any order gives the same links.
+  frequent shingles last, by counts over all documents; any order gives the same links.
 * Count vectors. The numbers of shingles in DIMS groups make a point; the overlap of two sets is at most the sum of
   the smaller coordinates. Pages of the directory are joined by an R-tree over these points: node boxes carry the
   largest coordinates and the smallest size, node pairs whose bound is too low are pruned, and pairs that survive are verified on the sets.
@@ -18,8 +18,11 @@ Pages can be large where many documents are near copies. First every entry is co
 of its page, which links such copies without pairing them all. Only pages that still hold several components go on to the
 tree join, in blocks of bounded size, and only pairs across components are looked at. Components need no more than that.
 
+Sets are held as hashes: shingles of 64 bits, and a class is told by its size and two sums of 64 bits over mixed shingles. Classes have numbers of their
+own, so rows that repeat a doc_id with other texts are documents of their own; only the result names components by doc_id.
+
 Defined cases: null text, and text without words, has no shingles and links with nothing; with fewer words than a shingle the whole
-sequence is the one shingle; rows that share a doc_id count as linked; a row without doc_id links with nothing;
+sequence is the one shingle; rows that share a doc_id but not the shingles link only by their sets; a row without doc_id links with nothing;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -41,7 +44,8 @@ DIMS = 128
 PAGE = 1024
 NODE = 16
 BAND = 1.5
-ORDER_DOCS = 20_000
+#: Counters a task keeps while it counts shingles.
+COUNTERS = 1 << 17
 GROUPS_FROM = 85
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _KEY_BITS = np.uint64(14)  # entries keep 50 bits; a chance collision costs one comparison
@@ -132,21 +136,40 @@ def first_entries(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarr
     return (s[np.lexsort((s, late))][:length] >> _KEY_BITS).astype(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, words: int, rows: int = ORDER_DOCS, most: int = 200_000) -> np.ndarray:
-    """Sorted shingles that at least three documents of a sample hold, the most frequent first if there are more than `most`."""
-    total = docs.count()
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if total > rows:
-        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(rows / total * (1 << 32)))
+def _thinned(found: np.ndarray, n: np.ndarray, most: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` counters: all are lowered by the count that the next one has, and those at zero go. A count is never too high."""
+    if len(n) <= most:
+        return found, n
+    n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+    return found[n > 0], n[n > 0]
+
+
+def frequent_shingles(docs: DataFrame, words: int, most: int = 200_000) -> np.ndarray:
+    """Sorted shingles that many documents hold, of all documents.
+
+    A task counts with at most COUNTERS counters (the heavy-hitter summary of Misra and Gries), so a shingle that a share of more than 1 / COUNTERS
+    of its shingles are is never missed. The `most` shingles with the largest sums come to the driver.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler(words)
-        sets = [shingle(t) for batch in batches for t in batch.column(1).to_pylist()]
-        found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        more = n > 1  # what one part of the sample holds once is hardly frequent
+        found, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            sets, size = [], 0
+            texts = batch.column(0)
+            for k in range(len(texts) + 1):
+                if k < len(texts):
+                    sets.append(shingle(texts[k].as_py()))
+                    size += len(sets[-1])
+                if sets and (size > 1 << 20 or k == len(texts)):
+                    own, m = np.unique(np.concatenate(sets), return_counts=True)
+                    both, at = np.unique(np.concatenate([found, own]), return_inverse=True)
+                    found, n = _thinned(both, np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64))
+                    sets, size = [], 0
+        more = n > 1
         yield pa.RecordBatch.from_arrays([pa.array(found[more].astype(np.int64)), pa.array(n[more])], names=["s", "n"])
 
-    counted = sample.repartition(4).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 3")
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 3")
     got = counted.orderBy(F.desc("n"), "s").limit(most).toPandas()
     return np.sort(got["s"].to_numpy(np.int64).astype(np.uint64))
 
@@ -156,7 +179,7 @@ def counts(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, its directory keys and its count vector."""
+    """A row number, doc_id and a hash of the text, n_shingles, two hashes of the set, its directory keys and its count vector."""
     frequent = None
     if percent < GROUPS_FROM:
         frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
@@ -175,17 +198,19 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(sums[:, 0]),
                         pa.array(sums[:, 1]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                         pa.array([counts(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "h1", "h2", "keys", "point"],
+                    names=["doc_id", "t", "n_shingles", "h1", "h2", "keys", "point"],
                 )
 
-    out = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, point binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, out)
+    out = "doc_id long, t long, n_shingles long, h1 long, h2 long, keys array<long>, point binary"
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(one, out)
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -224,23 +249,18 @@ def tree_join(left: RTree, right: RTree, percent: int) -> Iterator[tuple[np.ndar
 
 
 def _load_sets(need: DataFrame, docs: DataFrame, scratch: Scratch, words: int) -> DataFrame:
-    """id and its sorted shingle hashes, for the representatives in need(id, h1, h2). The one place where texts are shuffled."""
+    """id and its sorted shingle hashes, for the classes in need(id, doc_id, t). The one place where texts are shuffled."""
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler(words)
         for batch in batches:
-            ids, sets = [], []
-            for doc, text, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle(text)
-                own = np.array([_mix(s, _A).sum(), _mix(s, _B).sum()], np.uint64).astype(np.int64)
-                if own[0] == h1 and own[1] == h2:  # of rows that share a doc_id, the one that is meant
-                    ids.append(doc), sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return scratch.table(
-        "sets", texts.join(need, "id").select("id", "text", "h1", "h2").mapInArrow(load, "id long, s binary").dropDuplicates(["id"])
-    )
+            sets = [shingle(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    # A class's text may occur in several rows with its doc_id.
+    return scratch.table("sets", texts.join(need, ["doc_id", "t"]).select("id", "text").mapInArrow(load, "id long, s binary").dropDuplicates(["id"]))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
@@ -338,30 +358,44 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links)."""
+    plain, named = _linked(docs, words, percent)
+    return plain.join(named, _SAME, "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("least", "doc_id").alias("class_id"),
+        F.coalesce("lowest", "doc_id").alias("component_id"),
+    )
+
+
+_SAME = ["n_shingles", "h1", "h2"]
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t (a hash of the text) and set of every row (no set without doc_id); and of every set least, its smallest doc_id, its component, and lowest, that one's smallest doc_id."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ngram-join")
     rows = scratch.table("rows", describe(docs, words, percent))
-    same = ["n_shingles", "h1", "h2"]
+    same = _SAME
+    # A class goes by the number of its first row; least is its smallest doc_id.
     classes = scratch.table(
-        "classes", rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+        "classes",
+        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")),
     )
-    # Pages are made of documents; of a class only one goes on from there.
-    members = rows.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
-    pages = members.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("key")
+    # Pages are made of rows; of a class only one goes on from there.
+    members = rows.filter("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "row")
+    pages = members.groupBy("key").agg(F.min("row").alias("x"), F.max("row").alias("y")).filter("x <> y").select("key")
     shared = scratch.table("entries", members.join(pages, "key"))
     plain = scratch.table("plain", rows.drop("keys", "point"))
-    own = plain.filter("doc_id IS NOT NULL").join(classes, same).select("doc_id", "rep")
-    shared = scratch.table("shared", shared.join(own, "doc_id").select("key", "rep").distinct())
-    live = shared.select(F.col("rep").alias("doc_id")).distinct()
-    reps = rows.select("doc_id", *same, "point").join(live, "doc_id", "left_semi").join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    reps = scratch.table("reps", reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]))
+    own = plain.filter("doc_id IS NOT NULL").join(classes, same).select("row", "rep")
+    shared = scratch.table("shared", shared.join(own, "row").select("key", "rep").distinct())
+    live = shared.select(F.col("rep").alias("row")).distinct()
+    reps = scratch.table("reps", rows.join(live, "row", "left_semi").select(F.col("row").alias("rep"), "doc_id", "t", "n_shingles", "point"))
     scratch.drop("rows", "entries")
     pivots = shared.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     star = shared.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.table("star", _bounded(star, reps, percent))
-    need = shared.select("rep").distinct().join(reps, "rep").select(F.col("rep").alias("id"), "h1", "h2")
-    sets = _load_sets(need, docs, scratch, words)
+    sets = _load_sets(reps.select(F.col("rep").alias("id"), "doc_id", "t"), docs, scratch, words)
     links = _verify(star, sets, scratch, "star", percent)
     first = scratch.table("first", components(links, scratch, "first"))
     labelled = (
@@ -383,21 +417,24 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     if not rest.isEmpty():
         links = links.union(_verify(rest, sets, scratch, "rest", percent))
         first = scratch.table("second", components(links, scratch, "second"))
-    named = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        *[F.col(c).alias("_" + c) for c in same], "rep", F.coalesce("component", "rep").alias("component")
-    )
-    own = plain.select("doc_id", *same)
-    on = [F.col(c) == F.col("_" + c) for c in same]
-    return own.join(named, [*on, F.col("doc_id").isNotNull()], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+    placed = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
+        *same, "least", F.coalesce("component", "rep").alias("component")
     )
+    lowest = placed.groupBy("component").agg(F.min("least").alias("lowest"))
+    named = scratch.table("named", placed.join(lowest, "component").select(*same, "least", "component", "lowest"))
+    scratch.drop("classes", "shared", "reps", "star", "sets", "first", "second", "left", "rest", "star-links", "rest-links")
+    without = F.when(F.col("doc_id").isNotNull(), F.col("h1"))  # such rows meet no set
+    return plain.select("doc_id", "t", "n_shingles", without.alias("h1"), "h2"), named
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; columns as they are."""
-    found = link_documents(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    """docs with one document, one of the smallest doc_id, of each component; columns as they are. Rows equal in both doc_id and text stay together."""
+    plain, named = _linked(docs, words, percent)
+    own = plain.filter("doc_id IS NOT NULL").join(named, _SAME, "left")
+    alone = own.filter("component IS NULL").select("doc_id", "t")
+    first = own.filter("doc_id = lowest").groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("of")).select("of.*")
+    found = alone.union(first).distinct().select(F.col("doc_id").alias("_keep"), F.col("t").alias("_t"))
+    kept = docs.join(
+        found, (F.col("doc_id").cast("long") == F.col("_keep")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left_semi"
+    )
     return kept.unionByName(docs.filter("doc_id IS NULL"))
