@@ -77,9 +77,9 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import surrogate_documents
+    from .pii import KEY_CONF, surrogate_documents
 
-    return surrogate_documents(table_of(spark, sf_dir, "documents"))
+    return surrogate_documents(table_of(spark, sf_dir, "documents"), spark.conf.get(KEY_CONF, "no secret"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
