@@ -57,7 +57,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates in place of personal data."""
-    return pii.replace_entities(docs)
+    return pii.replace_entities(docs, spark.conf.get(pii.KEY_CONF, "no secret"))
 
 
 @_stage
