@@ -3,8 +3,9 @@
 Texts are equal when they are identical after lower-casing A-Z. A stateful stream keeps, for each
 digest, the identifier and the content locator of the row that stays and the number of rows seen. The
 state lives in RocksDB, has no watermark and therefore never expires. Rows that hit an existing digest are
-compared with the kept row byte by byte; rows whose bytes differ (a digest collision) are grouped by
-their full text instead.
+compared byte by byte with the kept row, which is read at its locator (the file it came from); rows whose bytes differ (a digest collision) are
+grouped by their full text instead. The stream runs in a session of its own, so its settings touch nothing else. Large groups are compared in
+parts of about PART rows, each with a copy of the kept text.
 
 Defined cases: null text counts as empty; of equal texts the largest doc_id stays; a null doc_id is
 smaller than any other; rows that repeat both doc_id and text count in the group size and one of them
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+PART = 1024
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,33 +50,30 @@ def sha256(text: Column) -> Column:
 
 def _state(digests: DataFrame, scratch: Scratch, files_per_batch: int) -> DataFrame:
     """Run the stateful stream over the digest table to its end; one row per digest."""
-    spark = scratch.spark
-    before = {k: spark.conf.get(k, None) for k in _STREAM_CONF}
-    for k, v in _STREAM_CONF.items():
-        spark.conf.set(k, v)
-    try:
-        stream = (
-            spark.readStream.schema(digests.schema)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(scratch.at("digests"))
-            .groupBy("digest", "n_bytes")
-            .agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        )
+    spark = scratch.spark.newSession()
+    for k, v in {**scratch.spark.conf.getAll, **_STREAM_CONF}.items():
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
+    stream = (
+        spark.readStream.schema(digests.schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(scratch.at("digests"))
+        .groupBy("digest", "n_bytes")
+        .agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    )
 
-        def emit(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(scratch.at(f"state/batch={batch_id}"))
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(scratch.at(f"state/batch={batch_id}"))
 
-        query = (
-            stream.writeStream.outputMode("update")
-            .foreachBatch(emit)
-            .option("checkpointLocation", scratch.at("stream"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(emit)
+        .option("checkpointLocation", scratch.at("stream"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark = scratch.spark
     # A digest that several batches touched has several rows; both values only ever grow.
     emitted = (
         spark.read.schema(stream.schema).parquet(scratch.at("state/batch=*"))
@@ -113,28 +112,33 @@ def duplicate_groups(
     rows = scratch.table(
         "rows",
         seen.join(state, ["digest", "n_bytes"]).select(
-            "doc_id", "text_sha256", F.col("keeper.doc_id").alias("keep_id"), "group_size"
+            "doc_id",
+            "text_sha256",
+            F.col("keeper.doc_id").alias("keep_id"),
+            F.col("keeper.locator").alias("keep_at"),
+            "group_size",
+            F.monotonically_increasing_id().alias("row"),
         ),
     )
     scratch.drop("digests", "groups", "state", "stream")
-    shared = rows.filter("group_size > 1").select("doc_id", "text_sha256", "keep_id").distinct()
+    parts = F.ceil(F.col("group_size") / PART).cast("int").alias("parts")
+    shared = rows.filter("group_size > 1").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha"), "keep_id", "keep_at", parts).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("content"), F.input_file_name().alias("locator"))
     texts = scratch.table(
         "texts",
-        docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("content"))
-        .join(shared, F.col("id").eqNullSafe(shared.doc_id))
-        .filter(sha256(F.col("content")) == F.col("text_sha256"))
-        .select("doc_id", "keep_id", "text_sha256", "content"),
+        own.withColumn("text_sha256", sha256(F.col("content")))
+        .join(shared, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_sha256") == F.col("sha")))
+        .select("doc_id", "keep_id", "keep_at", "locator", "parts", "text_sha256", "content"),
     )
-    kept_texts = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("keep_id").alias("of"), F.col("text_sha256").alias("kept_sha"), F.col("content").alias("kept_content")
-    )
-    if digest is not sha256:
-        # Several texts can share a weak digest, and then the kept doc_id too; the text at the kept row decides.
-        kept_texts = kept_texts.groupBy("of").agg(F.max("kept_content").alias("kept_content"))
-    else:
-        kept_texts = kept_texts.select("of", "kept_content").distinct()
+    # Several texts can share a weak digest, and then the kept doc_id too; the largest of the texts there decides.
+    at_keeper = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("locator").eqNullSafe(F.col("keep_at")))
+    group = ["keep_id", "parts"] if digest is not sha256 else ["keep_id", "text_sha256", "parts"]
+    kept_texts = at_keeper.groupBy(*group).agg(F.max("content").alias("kept_content"))
+    kept_texts = kept_texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*[F.col(c).alias("_" + c) for c in group], "part", "kept_content")
     hits = texts.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | F.lit(digest is not sha256))
-    differ = hits.join(kept_texts, F.col("keep_id").eqNullSafe(F.col("of"))).filter("content <> kept_content")
+    hits = hits.withColumn("own_part", F.pmod(F.xxhash64("doc_id", "locator"), F.col("parts")).cast("int"))
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in group] + [F.col("own_part") == F.col("part")]
+    differ = hits.join(kept_texts, same).filter("content <> kept_content")
     if differ.select("keep_id").isEmpty():
         scratch.drop("texts")
     else:
@@ -165,14 +169,17 @@ def _digest_schema(docs: DataFrame, digest: Callable[[Column], Column]):
 
 def _mark_kept(rows: DataFrame) -> DataFrame:
     """kept is true for one row of each group, also where a row repeats."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    return rows.withColumn("nth", nth).select(
+    first = (
+        rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.min("row").alias("row"))
+        .select("row", F.lit(True).alias("first"))
+    )
+    return rows.join(first, "row", "left").select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
+        F.coalesce("first", F.lit(False)).alias("kept"),
         "text_sha256",
     )
 
