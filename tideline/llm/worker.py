@@ -50,10 +50,10 @@ class Recent:
         """Those of keys that have no value yet; the others are in `now` afterwards."""
         lacking = keys.difference(self.now)
         if self.old and lacking:
-            back = lacking.intersection(self.old)
+            back = [k for k in lacking if k in self.old]
             if back:
                 self.put(back, list(map(self.old.__getitem__, back)))
-                lacking -= back
+                lacking.difference_update(back)
         return list(lacking)
 
     def look_up(self, keys: list, make: Callable[[list], list]) -> list:
