@@ -34,8 +34,28 @@ def test_append_and_query(spark, tmp_path):
 
 def test_decode():
     assert is_stale(np.array([STALE, math.nan, 1.0])).tolist() == [True, False, False]
-    samples, series = decode([Point({"__name__": "m"}, 1, 1.0), Point({"__name__": "m"}, 1, 2.0), Point({"__name__": "m"}, 7_200_000, STALE)])
-    assert samples["value"].tolist()[0] == 2.0 and samples["is_stale"].tolist() == [False, True] and len(series) == 2
+    rows = decode([Point({"__name__": "m"}, 1, 1.0), Point({"__name__": "m"}, 7_200_000, STALE)])
+    assert rows["value"].to_pylist()[0] == 1.0 and rows["is_stale"].to_pylist() == [False, True]
+
+
+def test_equal_times(spark, tmp_path):
+    """A value stays rather than a marker, and of values the largest, whichever way and order they come in."""
+    m = {"__name__": "m"}
+    points = [Point(m, 1, 1.0), Point(m, 1, STALE), Point(m, 1, 3.0), Point(m, 1, 2.0), Point(m, 2, STALE)]
+    for name, order in (("a", points), ("b", points[::-1])):
+        table = Table(spark, str(tmp_path / name))
+        table.append(order[:2]), table.append(order[2:])
+        assert sorted((r.ts, r.value if not r.is_stale else None) for r in table.samples.collect()) == [(1, 3.0), (2, None)]
+
+
+def test_batches_and_streams_name_a_series_alike(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps({"labels": {"__name__": "m", "k": "a"}, "ts": 2000, "value": 2.0, "is_stale": False}))
+    table = Table(spark, str(tmp_path / "t"))
+    table.append([Point({"__name__": "m", "k": "a"}, 1000, 1.0)])
+    writer.start(spark, str(tmp_path / "in"), table, str(tmp_path / "c"), every=None).awaitTermination()
+    assert table.samples.select("series_id").distinct().count() == 1
+    assert [r.value for r in Engine(spark, table.store()).query("count(m)", 2500).frame.collect()] == [1.0]
 
 
 def test_fingerprints():
@@ -157,8 +177,6 @@ def test_command_line(spark):
 def test_plan_has_one_scan_with_pushed_filters(spark, tmp_path):
     table = Table(spark, str(tmp_path / "t"))
     table.append([Point({"__name__": "m", "k": "a"}, 1000, 1.0)])
-    raw = spark.read.parquet(f"{tmp_path}/t/samples")
-    from tideline.sources.store import TableStore
-
-    plan = Engine(spark, TableStore(raw, table.series)).explain("rate(m[5m])", 0, 600_000, 60_000)
-    assert "metric_name#" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThan(ts,-300000)" in plan
+    plan = Engine(spark, table.store()).explain("rate(m[5m])", 86_400_000, 87_000_000, 60_000)
+    partitions = plan.split("PartitionFilters")[1].split("]")[0]
+    assert "metric_name#" in partitions and "day#" in partitions and "GreaterThan(ts,86100000)" in plan

@@ -41,6 +41,13 @@ def test_tier_by_step():
     assert RollupConfig(enabled=False, tiers=DEFAULT.tiers).select(HOUR) is None
 
 
+def test_only_tiers_that_tile_the_windows():
+    pick = lambda *a: getattr(DEFAULT.select(*a), "name", None)
+    assert pick(HOUR, 90 * M, 0) == "5m" and pick(HOUR, 2 * HOUR, 0) == "1h"
+    assert pick(HOUR, 2 * HOUR, 5 * M) == "5m" and pick(HOUR, 2 * HOUR, M) is None
+    assert pick(90 * M, 3 * HOUR, 0) == "5m" and pick(HOUR, 7 * M, 0) is None
+
+
 def test_segments_join():
     now = 1000 * HOUR
     got = DEFAULT.segments(now - 200 * HOUR, now, DEFAULT.tiers[1], now)
@@ -74,6 +81,28 @@ def test_growth_across_buckets_and_resets(spark):
     assert len(hour) == 1 and hour[0].counter_total == 11 and hour[0].first_value == 1 and hour[0].last_value == 3
 
 
+def test_growth_over_a_long_gap(spark, tmp_path):
+    rows = {"m": {(): [(0, 1), (100 * HOUR, 7), (100 * HOUR + 5 * M, 3), (190 * HOUR, 4)]}}
+    raw = store(spark, rows).samples_table
+    assert sum(r.counter_total for r in from_samples(raw, 5 * M).collect()) == 6 + 3 + 1
+    rollups = RollupStore(spark, str(tmp_path / "r"), DEFAULT)
+    rollups.refresh(raw.filter(f"ts < {150 * HOUR}"), 300 * HOUR)
+    rollups.refresh(raw, 300 * HOUR, since=180 * HOUR)  # goes on from the bucket 90 hours before
+    for name in ("samples_5m", "samples_1h"):
+        assert sum(r.counter_total for r in rollups.table(name).collect()) == 10
+
+
+def test_ranges_off_the_coarse_grid_are_exact(spark, tmp_path):
+    raw = store(spark, {"m": {(("k", "x"),): [(t, 1.0) for t in range(0, 240 * HOUR, 5 * M)]}})
+    now = 240 * HOUR
+    rollups = RollupStore(spark, str(tmp_path / "r"), DEFAULT)
+    rollups.refresh(raw.samples_table, now)
+    routed = Engine(spark, raw, routes=Routes(rollups, DEFAULT, now))
+    for start in (48 * HOUR, 48 * HOUR + 5 * M, 48 * HOUR + M):
+        got = routed.query_range("sum_over_time(m[90m])", start, start + 5 * HOUR, HOUR).frame.collect()
+        assert {r["value"] for r in got} == {18.0}
+
+
 def test_routed_results_and_refresh(spark, tmp_path):
     raw = store(spark, data())
     now = 240 * HOUR

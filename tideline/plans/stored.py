@@ -112,9 +112,9 @@ def stored_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _build_sql(width: int) -> str:
     return f"""
-    WITH s AS (SELECT *, lag(value) OVER p AS pv, lag(ts) OVER p AS pt FROM ({SQL["events_reset_total"]}) WINDOW p AS (PARTITION BY event_type ORDER BY ts))
+    WITH s AS (SELECT *, lag(value) OVER p AS pv FROM ({SQL["events_reset_total"]}) WINDOW p AS (PARTITION BY event_type ORDER BY ts))
     SELECT event_type, ts - ts % {width} AS bucket, min(value) AS val_min, max(value) AS val_max, round(sum(value), 6) AS val_sum, count(*) AS val_count,
-      round(coalesce(sum(CASE WHEN pt >= ts - {D} THEN CASE WHEN value < pv THEN value ELSE value - pv END END), 0), 6) AS counter_total,
+      round(coalesce(sum(CASE WHEN value < pv THEN value ELSE value - pv END), 0), 6) AS counter_total,
       min(ts) AS first_time, max(ts) AS last_time, arg_min(value, ts) AS first_value, arg_max(value, ts) AS last_value
     FROM s GROUP BY 1, 2"""
 
@@ -125,8 +125,8 @@ _STEPS = f"g AS (SELECT CAST(unnest(generate_series({GRID[0]}, {GRID[1]}, {GRID[
 def _tier_sql(metric: str, range_ms: int, value: str, digits: int = 6) -> str:
     """Whole buckets: samples in [t - range, t)."""
     return f"""
-    WITH s AS (SELECT *, lag(value) OVER p AS pv, lag(ts) OVER p AS pt FROM ({SQL[metric]}) WINDOW p AS (PARTITION BY event_type ORDER BY ts)), {_STEPS},
-    w AS (SELECT s.*, step_ts, CASE WHEN pt >= ts - {D} THEN CASE WHEN value < pv THEN value ELSE value - pv END END AS grown
+    WITH s AS (SELECT *, lag(value) OVER p AS pv FROM ({SQL[metric]}) WINDOW p AS (PARTITION BY event_type ORDER BY ts)), {_STEPS},
+    w AS (SELECT s.*, step_ts, CASE WHEN value < pv THEN value ELSE value - pv END AS grown
       FROM s JOIN g ON ts >= step_ts - {range_ms} AND ts < step_ts)
     SELECT event_type, step_ts, round({value}, {digits}) + 0.0 AS value FROM w GROUP BY 1, 2"""
 
@@ -139,6 +139,7 @@ ROUTED = {
     "tier_min": ("min_over_time(events_value[6h])", "events_value", 6 * H, "min(value)", 6),
     "tier_max": ("max_over_time(events_value[12h])", "events_value", 12 * H, "max(value)", 6),
     "tier_sum": ("sum_over_time(events_value[12h])", "events_value", 12 * H, "sum(value)", 6),
+    "tier_sum_90m": ("sum_over_time(events_value[90m])", "events_value", 90 * 60_000, "sum(value)", 6),
     "tier_count": ("count_over_time(events_value[12h])", "events_value", 12 * H, "CAST(count(*) AS DOUBLE)", 6),
     "tier_last": ("last_over_time(events_value[12h])", "events_value", 12 * H, "arg_max(value, ts)", 6),
     "tier_increase": ("increase(events_reset_total[24h])", "events_reset_total", 24 * H, _GROWTH, 6),

@@ -1,46 +1,55 @@
 """Building rollups: raw samples to buckets, buckets to coarser buckets.
 
 A bucket of a series holds min, max, sum and count of its values, the first and last sample, and the growth of the counter. Growth is
-summed over pairs of neighbouring samples and belongs to the bucket of the later one, so nothing is lost between buckets and a
-counter reset counts from zero. Every aggregate can be merged, so coarser tiers come from finer ones.
+summed over pairs of neighbouring samples, however far apart, and belongs to the bucket of the later one, so nothing is lost between buckets and a
+counter reset counts from zero. Pairs within a bucket are found there; a bucket's first sample is paired with the last one of the series' bucket before. Every aggregate can be merged, so coarser tiers come from finer ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.selectors import with_previous
-
 KEYS = ("metric_name", "series_id")
-#: A pair of samples further apart than this does not count as growth.
-PAIR_SPAN = 24 * 3_600_000
 
 
 def bucket(ts: Column, width: int) -> Column:
     return ts - F.pmod(ts, F.lit(width).cast("long"))
 
 
-def from_samples(samples: DataFrame, width: int, pair_span: int = PAIR_SPAN) -> DataFrame:
-    """samples(metric_name, series_id, ts, value, is_stale) to one row for each series and bucket."""
-    own = samples.filter(~F.col("is_stale")).select(
-        "metric_name", F.col("series_id").alias("sid"), F.xxhash64(*KEYS).alias("series_id"), "ts", "value"
-    )
-    rows = with_previous(own, pair_span)
-    grown = F.when(F.col("value") < F.col("pv"), F.col("value")).otherwise(F.col("value") - F.col("pv"))
-    near = F.col("pt") >= F.col("ts") - pair_span
-    rows = rows.withColumn("grown", F.coalesce(F.when(near, grown), F.lit(0.0))).withColumn("bucket", bucket(F.col("ts"), width))
-    return rows.groupBy("metric_name", F.col("sid").alias("series_id"), "bucket").agg(
-        F.min("value").alias("val_min"),
-        F.max("value").alias("val_max"),
-        F.sum("value").alias("val_sum"),
-        F.count(F.lit(1)).alias("val_count"),
-        F.sum("grown").alias("counter_total"),
-        F.min("ts").alias("first_time"),
-        F.max("ts").alias("last_time"),
-        F.min_by("value", "ts").alias("first_value"),
-        F.max_by("value", "ts").alias("last_value"),
+def _growth(value: Column, before: Column) -> Column:
+    """What a counter grew by; nothing where there is no sample before."""
+    return F.coalesce(F.when(value < before, value).otherwise(value - before), F.lit(0.0))
+
+
+def from_samples(samples: DataFrame, width: int, before: DataFrame | None = None) -> DataFrame:
+    """samples(metric_name, series_id, ts, value, is_stale) to one row for each series and bucket.
+
+    before(metric_name, series_id, last_time, last_value) has each series' last sample ahead of these samples.
+    """
+    rows = samples.filter(~F.col("is_stale")).select(*KEYS, bucket(F.col("ts"), width).alias("bucket"), "ts", "value")
+    inside = Window.partitionBy(*KEYS, "bucket").orderBy("ts")
+    buckets = (
+        rows.withColumn("grown", _growth(F.col("value"), F.lag("value").over(inside)))
+        .groupBy(*KEYS, "bucket")
+        .agg(
+            F.min("value").alias("val_min"),
+            F.max("value").alias("val_max"),
+            F.sum("value").alias("val_sum"),
+            F.count(F.lit(1)).alias("val_count"),
+            F.sum("grown").alias("counter_total"),
+            F.min("ts").alias("first_time"),
+            F.max("ts").alias("last_time"),
+            F.min_by("value", "ts").alias("first_value"),
+            F.max_by("value", "ts").alias("last_value"),
+        )
     )
+    columns = buckets.columns
+    if before is not None:
+        buckets = buckets.unionByName(before.select(*KEYS, "last_time", "last_value"), allowMissingColumns=True)
+    between = Window.partitionBy(*KEYS).orderBy("last_time")
+    grown = F.col("counter_total") + _growth(F.col("first_value"), F.lag("last_value").over(between))
+    return buckets.withColumn("counter_total", grown).filter("bucket IS NOT NULL").select(*columns)
 
 
 def from_tier(tier: DataFrame, width: int) -> DataFrame:

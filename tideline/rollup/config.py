@@ -74,9 +74,10 @@ class RollupConfig:
         text = ";".join(f"{t.name},{t.resolution},{t.compact_after}" for t in self.tiers)
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def select(self, step: int, range_ms: int | None = None) -> Tier | None:
-        """The coarsest tier for this step whose buckets are no longer than the range."""
-        fit = [t for t in self.tiers if self.enabled and step >= t.min_step and (range_ms is None or t.resolution <= range_ms)]
+    def select(self, step: int, range_ms: int | None = None, origin: int = 0) -> Tier | None:
+        """The coarsest tier for this step whose buckets tile every window: range, step and the first window's end (origin) are multiples of its resolution."""
+        tiles = lambda t: range_ms is None or not (range_ms % t.resolution or step % t.resolution or origin % t.resolution)
+        fit = [t for t in self.tiers if self.enabled and step >= t.min_step and (range_ms is None or t.resolution <= range_ms) and tiles(t)]
         return fit[-1] if fit else None
 
     def segments(self, start: int, end: int, tier: Tier | None, now: int) -> list[Segment]:

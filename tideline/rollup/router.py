@@ -1,7 +1,7 @@
 """Answering range functions from rollups.
 
-A bucket counts for a step if it lies in the window as a whole. Where range, step and grid are multiples of a tier's resolution the buckets tile
-the window, and min, max, sum, count and avg are exact; counter growth is extended to the full range, by 5 % at most. Each
+A tier is used only where range, step and grid are multiples of its resolution; then its buckets tile every window, and min, max, sum, count and
+avg are exact; counter growth is extended to the full range, by 5 % at most. Other queries go to a finer tier or to raw samples. Each
 segment of the time range comes from the tier, or raw samples rolled up on the fly, that RollupConfig names for it.
 """
 
@@ -16,11 +16,14 @@ from ..functions import labels as L
 from ..lang.ast import Selector
 from ..operators.vec import Vec
 from ..sources.store import NAME, TableStore
-from .build import PAIR_SPAN, from_samples, from_tier
+from .build import from_samples, from_tier
 from .config import RollupConfig
 from .store import RollupStore
 
 CAP = 1.05
+DAY = 86_400_000
+#: Raw samples are read this far ahead of a part, for the growth up to its first sample.
+RAW_LOOKBACK = DAY
 
 def _growth(range_ms: int, per_second: bool):
     span = (F.col("last") - F.col("first")) / 1000.0
@@ -53,22 +56,32 @@ class Routes:
         ),
     }
 
-    def buckets(self, store: TableStore, e: Selector, start: int, end: int, step: int) -> tuple[DataFrame, int] | None:
-        """Buckets of the selected series over the segments of a time range, and their width."""
-        tier = self.config.select(step, e.range_ms)
+    def buckets(self, store: TableStore, e: Selector, dim: DataFrame, start: int, end: int, step: int) -> tuple[DataFrame, int] | None:
+        """Buckets of the selected series (those of dim) over the segments of a time range, and their width."""
+        tier = self.config.select(step, e.range_ms, end)
         if tier is None:
             return None
         parts, width = [], tier.resolution
+
+        def own(rows: DataFrame, lo: int, upto: int) -> DataFrame:
+            """Filtered before anything is rolled up, so that the scan is pruned by metric and day."""
+            if "day" in rows.columns:
+                rows = rows.filter(F.col("day").between(lo // DAY, (upto - 1) // DAY)).drop("day")
+            for m in e.matchers:
+                if m.label == NAME:
+                    rows = rows.filter(L.matches(F.col("metric_name"), m.op, m.value))
+            return rows.join(dim.select("metric_name", "series_id"), ["metric_name", "series_id"], "left_semi")
+
         segments = self.config.segments(start, end, tier, self.now)
         for k, seg in enumerate(segments):
             # Cut at whole buckets; what a part does not hold in full comes from the next, finer one.
             lo = seg.start // width * width
             upto = -(-seg.end // width) * width if k == len(segments) - 1 else seg.end // width * width
             if seg.tier is None:
-                raw = store.samples_table.filter((F.col("ts") >= lo - PAIR_SPAN) & (F.col("ts") < upto))
-                rows = from_samples(raw, width)
+                raw = store.samples_table.filter((F.col("ts") >= lo - RAW_LOOKBACK) & (F.col("ts") < upto))
+                rows = from_samples(own(raw, lo - RAW_LOOKBACK, upto), width)
             else:
-                rows = self.rollups.table(seg.tier.table).drop("day").filter((F.col("bucket") >= lo) & (F.col("bucket") < upto))
+                rows = own(self.rollups.table(seg.tier.table).filter((F.col("bucket") >= lo) & (F.col("bucket") < upto)), lo, upto)
                 if seg.tier.resolution != width:
                     rows = from_tier(rows, width)
             parts.append(rows.filter((F.col("bucket") >= lo) & (F.col("bucket") < upto)))
@@ -88,15 +101,11 @@ class Routes:
         if final is None or e.at is not None or not isinstance(compiler.store, TableStore):
             return None
         first = grid.start - e.range_ms - e.offset_ms
-        found = self.buckets(compiler.store, e, first, grid.end - e.offset_ms, grid.step)
+        dim = compiler.store.series(e.matchers)
+        found = self.buckets(compiler.store, e, dim, first, grid.end - e.offset_ms, grid.step)
         if found is None:
             return None
         rows, width = found
-        dim = compiler.store.series(e.matchers)
-        for m in e.matchers:
-            if m.label == NAME:
-                rows = rows.filter(L.matches(F.col("metric_name"), m.op, m.value))
-        rows = rows.join(dim.select("metric_name", "series_id"), ["metric_name", "series_id"], "left_semi")
         ident = F.xxhash64("metric_name", "series_id")
         rows = rows.select(ident.alias("series_id"), (F.col("bucket") + e.offset_ms).alias("ts"), *[c for c in rows.columns if c.startswith(("val", "counter", "first", "last"))])
         points = self._windows(rows, grid, e.range_ms, width).select("series_id", "step_ts", final(e.range_ms).alias("value"))

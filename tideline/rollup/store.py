@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import day_of, exists, read_text, write_text
-from .build import from_samples, from_tier
+from .build import KEYS, from_samples, from_tier
 from .config import RollupConfig
 
 DAY = 86_400_000
@@ -43,10 +43,12 @@ class RollupStore:
             upto = (now - tier.compact_after) // tier.resolution * tier.resolution
             start = None if whole else since // DAY * DAY
             if source is None:
-                rows = samples.filter(F.col("ts") < upto)
-                if start is not None:  # the sample before a day's first is needed for its growth
-                    rows = rows.filter(F.col("ts") >= start - DAY)
-                buckets = from_samples(rows, tier.resolution)
+                rows, before = samples.filter(F.col("ts") < upto), None
+                if start is not None:  # each series goes on from its last bucket before that day
+                    rows = rows.filter(F.col("ts") >= start)
+                    older = self.table(tier.table).filter(F.col("day") < start // DAY)
+                    before = older.groupBy(*KEYS).agg(F.max_by("last_value", "last_time").alias("last_value"), F.max("last_time").alias("last_time"))
+                buckets = from_samples(rows, tier.resolution, before)
             else:
                 rows = source.filter(F.col("bucket") < upto)
                 if start is not None:

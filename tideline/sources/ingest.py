@@ -7,12 +7,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import fingerprint
+from ..functions import labels as L
 from .files import day_of
 from .store import TableStore
 
@@ -39,29 +38,39 @@ class Point:
     value: float
 
 
-def decode(points: Iterable[Point]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """samples and series rows. Of samples with equal series and time the last wins; a series is listed once for each hour."""
-    rows, series = {}, {}
-    for p in points:
-        labels = {k: v for k, v in p.labels.items() if k != "__name__" and v != ""}
-        name = p.labels.get("__name__", "")
-        ident = fingerprint(labels)
-        ident -= (ident >> 63) << 64
-        rows[name, ident, p.ts] = p.value
-        series[name, ident, p.ts // HOUR * HOUR] = labels
-    keys = list(rows)
-    values = np.fromiter(rows.values(), np.float64, len(rows))
-    samples = pd.DataFrame(
+def decode(points: Iterable[Point]) -> pa.Table:
+    """labels, ts, value and is_stale of each point."""
+    rows = list(points)
+    values = np.fromiter((p.value for p in rows), np.float64, len(rows))
+    return pa.table(
         {
-            "metric_name": [k[0] for k in keys],
-            "series_id": [k[1] for k in keys],
-            "ts": [k[2] for k in keys],
+            "labels": pa.array([list(p.labels.items()) for p in rows], pa.map_(pa.string(), pa.string())),
+            "ts": pa.array([p.ts for p in rows], pa.int64()),
             "value": values,
             "is_stale": is_stale(values),
         }
     )
-    dim = pd.DataFrame([(n, i, list(v.items()), h) for (n, i, h), v in series.items()], columns=["metric_name", "series_id", "labels", "seen_ms"])
-    return samples, dim
+
+
+def _one_value() -> Column:
+    """Of samples with equal series and time a value stays rather than a marker, and of values the largest."""
+    return F.max(F.struct((~F.coalesce("is_stale", F.lit(False))).alias("live"), "value"))
+
+
+def one_sample_each(samples: DataFrame, *more: str) -> DataFrame:
+    """One row for each series and time (and the columns `more`, which follow from these)."""
+    kept = samples.groupBy("metric_name", "series_id", "ts", *more).agg(_one_value().alias("of"))
+    return kept.select("metric_name", "series_id", "ts", F.col("of.value").alias("value"), (~F.col("of.live")).alias("is_stale"), *more)
+
+
+def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """samples and series of a batch of points (labels with __name__, ts, value, is_stale). A series is listed once for each hour."""
+    labels = L.clean(L.drop(F.col("labels"), ("__name__",)))
+    rows = batch.select(F.coalesce(F.element_at("labels", "__name__"), F.lit("")).alias("metric_name"), labels.alias("labels"), "ts", "value", "is_stale")
+    rows = rows.withColumn("series_id", L.series_id(F.col("labels")))
+    hour = F.col("ts") - F.pmod(F.col("ts"), F.lit(HOUR))
+    series = rows.withColumn("seen_ms", hour).groupBy("metric_name", "series_id", "seen_ms").agg(F.first("labels").alias("labels"))
+    return one_sample_each(rows), series.select("metric_name", "series_id", "labels", "seen_ms")
 
 
 class Table:
@@ -71,11 +80,9 @@ class Table:
         self.spark, self.path = spark, path
 
     def append(self, points: Iterable[Point]) -> None:
-        samples, dim = decode(points)
-        if not len(samples):
-            return
-        arrow = pa.table({"metric_name": dim["metric_name"], "series_id": dim["series_id"], "labels": pa.array(dim["labels"], pa.map_(pa.string(), pa.string())), "seen_ms": dim["seen_ms"]})
-        self.write(self.spark.createDataFrame(samples, SAMPLES), self.spark.createDataFrame(arrow))
+        batch = decode(points)
+        if batch.num_rows:
+            self.write(*split(self.spark.createDataFrame(batch)))
 
     def write(self, samples: DataFrame, series: DataFrame) -> None:
         rows = samples.withColumn("day", day_of(F.col("ts"))).repartition("metric_name", "day", "series_id")
@@ -85,9 +92,8 @@ class Table:
 
     @property
     def samples(self) -> DataFrame:
-        """One row for each series and time, also where batches overlap."""
-        rows = self.spark.read.schema(SAMPLES + ", day int").parquet(f"{self.path}/samples").drop("day")
-        return rows.dropDuplicates(["metric_name", "series_id", "ts"])
+        """One row for each series and time, also where batches overlap; filters on metric, day and time reach the scan."""
+        return one_sample_each(self.spark.read.schema(SAMPLES + ", day int").parquet(f"{self.path}/samples"), "day")
 
     @property
     def series(self) -> DataFrame:

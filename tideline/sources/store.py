@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..lang.ast import Matcher
 
+DAY = 86_400_000
 NAME = "__name__"
 
 
@@ -148,6 +149,8 @@ class TableStore(Store):
         dim = self.series(matchers)
         ident = F.xxhash64("metric_name", "series_id")
         rows = self.samples_table.filter((F.col("ts") > lo) & (F.col("ts") <= hi))
+        if "day" in rows.columns:  # the other partition column
+            rows = rows.filter(F.col("day").between((lo + 1) // DAY, hi // DAY))
         for m in matchers:  # the partition column is filtered directly
             if m.label == NAME:
                 rows = rows.filter(L.matches(F.col("metric_name"), m.op, m.value))

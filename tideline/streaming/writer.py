@@ -10,25 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import labels as L
-from ..sources.ingest import HOUR, Table
+from ..sources.ingest import Table, split
 
 INPUT = "labels map<string,string>, ts long, value double, is_stale boolean"
 
 
-def split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """samples and series of a micro-batch. Of rows with equal series and time the one with the largest value stays."""
-    labels = L.clean(L.drop(F.col("labels"), ("__name__",)))
-    rows = batch.select(F.coalesce(F.element_at("labels", "__name__"), F.lit("")).alias("metric_name"), labels.alias("labels"), "ts", "value", "is_stale")
-    rows = rows.withColumn("series_id", L.series_id(F.col("labels")))
-    samples = rows.groupBy("metric_name", "series_id", "ts").agg(
-        F.max("value").alias("value"), F.coalesce(F.max("is_stale"), F.lit(False)).alias("is_stale")
-    )
-    hour = F.col("ts") - F.pmod(F.col("ts"), F.lit(HOUR))
-    series = rows.withColumn("seen_ms", hour).groupBy("metric_name", "series_id", "seen_ms").agg(F.first("labels").alias("labels"))
-    return samples.select("metric_name", "series_id", "ts", "value", "is_stale"), series.select("metric_name", "series_id", "labels", "seen_ms")
-
-
 def start(
     spark: SparkSession, source: str, table: Table, checkpoint: str, every: str | None = "5 seconds", files_per_batch: int = 10, fmt: str = "json"
 ) -> StreamingQuery:
