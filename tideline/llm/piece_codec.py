@@ -38,7 +38,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _UNKNOWN_PENALTY = 10.0
-MAX_FITS = 100_000
+MAX_FITS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,7 +124,7 @@ class PieceCodec:
             self.automaton.make_automaton()
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.least = min(self.score.values(), default=0.0) - _UNKNOWN_PENALTY
-        self.known = Recent(2 * BUDGET // 3)
+        self.known = Recent(BUDGET)
         self.fits: dict[tuple[str, str], bool] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -151,20 +151,26 @@ class PieceCodec:
 
     def _cut_pairs(self, unit: str) -> list[str]:
         n = len(unit)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(unit):
-            ends[end].append(piece)
         last: list[str | None] = [""] + [None] * n
-        fit = self._fit
-        for end in range(n):
-            own = ends[end]
-            if not own or len(own[-1]) > 1:
-                own.append(unit[end])  # a character without a piece stands for itself
-            for piece in own:
+        known, fit, ids = self.fits.get, self._fit, self.ids
+        at = 0
+
+        def closed(upto: int) -> int:
+            for e in range(at, upto):  # a character without a piece stands for itself
+                if last[e + 1] is None and last[e] is not None and unit[e] not in ids and fit(last[e], unit[e]):
+                    last[e + 1] = unit[e]
+            return upto
+
+        for end, piece in self.automaton.iter(unit):  # of those that end here the longest comes first
+            if end > at:
+                at = closed(end)
+            if last[end + 1] is None:
                 before = last[end + 1 - len(piece)]
-                if before is not None and fit(before, piece):
-                    last[end + 1] = piece
-                    break
+                if before is not None:
+                    found = known((before, piece))
+                    if found or found is None and fit(before, piece):
+                        last[end + 1] = piece
+        closed(n)
         return self._back(last, n)
 
     def _cut_scores(self, unit: str) -> list[str]:
