@@ -51,9 +51,11 @@ def sha256(text: Column) -> Column:
 def _state(digests: DataFrame, scratch: Scratch, files_per_batch: int) -> DataFrame:
     """Run the stateful stream over the digest table to its end; one row per digest."""
     spark = scratch.spark.newSession()
-    for k, v in {**scratch.spark.conf.getAll, **_STREAM_CONF}.items():
+    for k, v in scratch.spark.conf.getAll.items():
         if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
+    for k, v in _STREAM_CONF.items():  # the state store's own settings don't count as modifiable, but can be set
+        spark.conf.set(k, v)
     stream = (
         spark.readStream.schema(digests.schema)
         .option("maxFilesPerTrigger", files_per_batch)
