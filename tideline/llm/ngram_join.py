@@ -248,8 +248,10 @@ def tree_join(left: RTree, right: RTree, percent: int) -> Iterator[tuple[np.ndar
                 yield left.order[a + own.start], right.order[b + other.start]
 
 
-def _load_sets(need: DataFrame, docs: DataFrame, scratch: Scratch, words: int) -> DataFrame:
-    """id and its sorted shingle hashes, for the classes in need(id, doc_id, t). The one place where texts are shuffled."""
+def _load_sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int) -> DataFrame:
+    """id and its sorted shingle hashes, for the classes that pairs (a, b) name. The one place where texts are shuffled."""
+    named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    need = scratch.table(f"{name}-need", reps.join(named, "rep", "left_semi").select(F.col("rep").alias("id"), "doc_id", "t"))
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler(words)
@@ -260,7 +262,8 @@ def _load_sets(need: DataFrame, docs: DataFrame, scratch: Scratch, words: int) -
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     # A class's text may occur in several rows with its doc_id.
-    return scratch.table("sets", texts.join(need, ["doc_id", "t"]).select("id", "text").mapInArrow(load, "id long, s binary").dropDuplicates(["id"]))
+    found = texts.join(need, ["doc_id", "t"]).select("id", "text")
+    return scratch.table(f"{name}-sets", found.mapInArrow(load, "id long, s binary").dropDuplicates(["id"]))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
@@ -395,8 +398,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     pivots = shared.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     star = shared.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.table("star", _bounded(star, reps, percent))
-    sets = _load_sets(reps.select(F.col("rep").alias("id"), "doc_id", "t"), docs, scratch, words)
-    links = _verify(star, sets, scratch, "star", percent)
+    links = _verify(star, _load_sets(star, reps, docs, scratch, "star", words), scratch, "star", percent)
+    scratch.drop("star-sets", "star-need")
     first = scratch.table("first", components(links, scratch, "first"))
     labelled = (
         shared.join(first.withColumnRenamed("node", "rep"), "rep", "left")
@@ -415,14 +418,14 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     )
     rest = scratch.table("rest", rest)
     if not rest.isEmpty():
-        links = links.union(_verify(rest, sets, scratch, "rest", percent))
+        links = links.union(_verify(rest, _load_sets(rest, reps, docs, scratch, "rest", words), scratch, "rest", percent))
         first = scratch.table("second", components(links, scratch, "second"))
     placed = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         *same, "least", F.coalesce("component", "rep").alias("component")
     )
     lowest = placed.groupBy("component").agg(F.min("least").alias("lowest"))
     named = scratch.table("named", placed.join(lowest, "component").select(*same, "least", "component", "lowest"))
-    scratch.drop("classes", "shared", "reps", "star", "sets", "first", "second", "left", "rest", "star-links", "rest-links")
+    scratch.drop("classes", "shared", "reps", "star", "first", "second", "left", "rest", "star-links", "rest-links", "rest-sets", "rest-need")
     without = F.when(F.col("doc_id").isNotNull(), F.col("h1"))  # such rows meet no set
     return plain.select("doc_id", "t", "n_shingles", without.alias("h1"), "h2"), named
 
