@@ -139,3 +139,17 @@ def test_tree_join_finds_all_pairs_of_the_bound():
     bound = np.minimum(points[:, None], points[None]).sum(axis=2)
     on = (bound >= J.least_overlap(sizes[:, None], sizes[None], 90)) & (100 * np.minimum.outer(sizes, sizes) >= 90 * np.maximum.outer(sizes, sizes))
     assert {(i, j) for i, j in zip(*np.nonzero(on), strict=True) if i < j} <= got
+
+
+def test_count_vectors_of_large_sets_stay_above_the_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 40, 3000, 700_000)]
+    sets.append(np.unique(np.concatenate([sets[3][:500_000], sets[2]])))
+    found = J.points([J.counts(s) for s in sets])
+    for s, row in zip(sets, found, strict=True):
+        exact = np.bincount((s & np.uint64(J.DIMS - 1)).astype(np.int64), minlength=J.DIMS)
+        assert (row >= exact).all() and (row <= exact * 1.01 + max(1, exact.max() // 255 + 1)).all()
+        assert exact.max() > 255 or (row == exact).all()
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert np.minimum(found[a], found[b]).sum() >= len(np.intersect1d(sets[a], sets[b]))

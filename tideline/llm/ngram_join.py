@@ -40,7 +40,7 @@ from .components import components
 from .scratch import Scratch, ship
 from .worker import BUDGET, Recent, held
 
-DIMS = 128
+DIMS = 512
 PAGE = 1024
 NODE = 16
 BAND = 1.5
@@ -174,8 +174,17 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = 200_000) -> np.nd
     return np.sort(got["s"].to_numpy(np.int64).astype(np.uint64))
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
+def counts(s: np.ndarray) -> bytes:
+    """The count vector of a set: a scale, and a byte for each group. A count is at most byte * scale, so bounds on overlaps hold."""
+    n = np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+    scale = max(1, -(-int(n.max()) // 255))
+    return scale.to_bytes(4, "little") + (-(-n // scale)).astype(np.uint8).tobytes()
+
+
+def points(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows of numbers."""
+    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, 4 + DIMS)
+    return raw[:, 4:] * np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -203,7 +212,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(sums[:, 0]),
                         pa.array(sums[:, 1]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.array([counts(s).tobytes() for s in sets], pa.binary()),
+                        pa.array([counts(s) for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "t", "n_shingles", "h1", "h2", "keys", "point"],
                 )
@@ -290,21 +299,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, perc
     return scratch.table(f"{name}-links", joined.mapInArrow(check, "u long, v long"))
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that size and summed coordinate minima allow."""
-    p = points.select("rep", "n_shingles", "point")
+    p = reps.select("rep", "n_shingles", "point")
     both = pairs.join(p.toDF("a", "na", "pa"), "a").join(p.toDF("b", "nb", "pb"), "b").filter(
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     )
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pa_, pb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(-1, DIMS) for k in (3, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            on = np.minimum(pa_, pb).sum(axis=1) >= least_overlap(na, nb, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[on]), pa.array(batch.column(1).to_numpy()[on])], names=["a", "b"])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                left, right = points(part.column(3).to_pylist()), points(part.column(5).to_pylist())
+                a, b, na, nb = (part.column(k).to_numpy() for k in (0, 1, 2, 4))
+                on = np.minimum(left, right).sum(axis=1) >= least_overlap(na, nb, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on])], names=["a", "b"])
 
     return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(keep, "a long, b long")
 
@@ -331,12 +340,12 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             _, i, j = own
             block, rep, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            points = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(-1, DIMS)
+            vectors = points([r[4] for r in rows])
             a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
             found = set()
             if len(a) and len(b):
-                left = RTree(points[a], size[a])
-                right = left if i == j else RTree(points[b], size[b])
+                left = RTree(vectors[a], size[a])
+                right = left if i == j else RTree(vectors[b], size[b])
                 for x, y in tree_join(left, right, percent):
                     x, y = a[x], b[y]
                     on = comp[x] != comp[y]
