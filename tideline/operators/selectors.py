@@ -6,6 +6,8 @@ does not serve, and nothing is aggregated. Range functions get the pair (previou
 
 Both looks run in windows over (series, time chunk), with the few samples at a chunk's edge present in two chunks, so one very long or
 very dense series is still spread over many tasks.
+
+Samples of one series and time follow each other by seq; the first of them is the one that serves.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from ..plans.grid import Grid
 CHUNKS_PER_SPAN = 16
 
 
+def sequenced(samples: DataFrame) -> DataFrame:
+    return samples if "seq" in samples.columns else samples.withColumn("seq", F.lit(0).cast("long"))
+
+
 def _chunked(samples: DataFrame, span: int, ahead: bool) -> DataFrame:
     """Samples with their chunk; those within span of the edge also serve the neighbour as context."""
     width = max(CHUNKS_PER_SPAN * span, 3_600_000)
@@ -31,8 +37,8 @@ def _chunked(samples: DataFrame, span: int, ahead: bool) -> DataFrame:
 
 def instant(samples: DataFrame, grid: Grid, lookback: int, keep_ts: bool = False) -> DataFrame:
     """points of the newest sample in [t - lookback, t] at each step; a stale newest sample gives none."""
-    window = Window.partitionBy("series_id", "_chunk").orderBy("ts")
-    rows = _chunked(samples, lookback, ahead=True).withColumn("_next", F.lead("ts").over(window))
+    window = Window.partitionBy("series_id", "_chunk").orderBy("ts", F.desc("seq"))
+    rows = _chunked(sequenced(samples), lookback, ahead=True).withColumn("_next", F.lead("ts").over(window))
     rows = rows.filter((F.col("_own") == F.col("_chunk")) & ~F.col("is_stale"))
     until = F.least(F.col("ts") + lookback, F.coalesce(F.col("_next") - 1, F.col("ts") + lookback))
     rows = rows.select(
@@ -45,7 +51,7 @@ def instant(samples: DataFrame, grid: Grid, lookback: int, keep_ts: bool = False
 
 def with_previous(samples: DataFrame, span: int) -> DataFrame:
     """Samples with pv and pt, value and time of the one before if it is within span."""
-    window = Window.partitionBy("series_id", "_chunk").orderBy("ts")
-    rows = _chunked(samples, span, ahead=False)
+    window = Window.partitionBy("series_id", "_chunk").orderBy("ts", "seq")
+    rows = _chunked(sequenced(samples), span, ahead=False)
     rows = rows.withColumn("pv", F.lag("value").over(window)).withColumn("pt", F.lag("ts").over(window))
     return rows.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")

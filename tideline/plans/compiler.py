@@ -135,7 +135,7 @@ class Compiler:
         grid = fixed or self.grid
         if isinstance(e, Selector):
             found = self.store.select(e.matchers, grid.start - e.range_ms - e.offset_ms, grid.end - e.offset_ms)
-            samples = found.samples.filter(~F.col("is_stale")).select("series_id", "ts", "value")
+            samples = found.samples.filter(~F.col("is_stale")).drop("is_stale")
             return _shift(samples, e.offset_ms), self._dim(found.dim), grid, fixed is not None
         step = e.step_ms or self.settings.subquery_step_ms
         lo = (grid.start - e.range_ms - e.offset_ms) // step * step + step

@@ -30,18 +30,18 @@ def metrics(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], WideMetr
     read = lambda name: table(spark, sf_dir, name)
 
     def events(labels: tuple[str, ...]):
-        return lambda: WideMetric(read("events"), labels, millis("ts"), F.col("value"))
+        return lambda: WideMetric(read("events"), labels, millis("ts"), F.col("value"), seq=F.col("event_id"))
 
     def numbered(value: Callable[[Column], Column]):
         number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-        return WideMetric(read("events").withColumn("n", number), ("event_type",), millis("ts"), value(F.col("n")).cast("double"), "counter")
+        return WideMetric(read("events").withColumn("n", number), ("event_type",), millis("ts"), value(F.col("n")).cast("double"), "counter", seq=F.col("n"))
 
     def buckets() -> WideMetric:
         bounds = [F.struct(F.lit(b).alias("le"), F.lit(float("inf") if b == "+Inf" else float(b)).alias("bound")) for b in BOUNDS]
         rows = read("events").withColumn("b", F.explode(F.array(*bounds))).select("event_id", "event_type", "ts", "value", "b.le", "b.bound")
         order = Window.partitionBy("event_type", "le").orderBy("ts", "event_id")
         rows = rows.withColumn("c", F.sum(F.when(F.col("value") <= F.col("bound"), 1).otherwise(0)).over(order))
-        return WideMetric(rows, ("event_type", "le"), millis("ts"), F.col("c").cast("double"), "histogram")
+        return WideMetric(rows, ("event_type", "le"), millis("ts"), F.col("c").cast("double"), "histogram", seq=F.col("c"))
 
     def daily(name: str, labels: tuple[str, ...], day: str, value: str):
         return lambda: WideMetric(read(name).groupBy(*labels, day).agg(F.sum(value).alias("total")), labels, millis(day), F.col("total"))

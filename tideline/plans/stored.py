@@ -31,9 +31,9 @@ def table_store(spark: SparkSession, sf_dir: str, *names: str) -> TableStore:
         wide = demo.store(spark, sf_dir)
         m = wide.metric(name)
         labels = wide._map(m)
-        rows = m.df.select(F.lit(name).alias("metric_name"), labels.alias("labels"), m.ts.cast("long").alias("ts"), m.value.cast("double").alias("value"))
+        rows = m.df.select(F.lit(name).alias("metric_name"), labels.alias("labels"), m.ts.cast("long").alias("ts"), m.value.cast("double").alias("value"), m.order.alias("seq"))
         rows = rows.withColumn("series_id", L.series_id(F.col("labels")))
-        own = rows.select("metric_name", "series_id", "ts", "value", F.lit(False).alias("is_stale"))
+        own = rows.select("metric_name", "series_id", "ts", "value", F.lit(False).alias("is_stale"), "seq")
         dim = rows.groupBy("metric_name", "series_id").agg(F.first("labels").alias("labels"), F.max("ts").alias("seen_ms"))
         samples = own if samples is None else samples.unionByName(own)
         series = dim if series is None else series.unionByName(dim)

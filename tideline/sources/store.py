@@ -1,6 +1,7 @@
 """Where samples come from.
 
 A store answers a selector with a Selection: samples(series_id, ts, value, is_stale) in a time range, and the label map of each series.
+Where several samples of a series can have the same time, a column seq has their order; the first of them counts as the value at that time.
 Matchers and the time range become filters on physical columns, so that they reach the Parquet scan.
 """
 
@@ -46,6 +47,12 @@ class WideMetric:
     value: Column
     kind: str = "gauge"
     help: str = ""
+    seq: Column | None = None
+
+    @property
+    def order(self) -> Column:
+        zero = F.lit(0).cast("long")
+        return zero if self.seq is None else F.coalesce(self.seq.cast("long"), zero)
 
 
 @dataclass
@@ -87,7 +94,7 @@ class WideStore(Store):
         for name, m, on in self._matching(matchers):
             rows = m.df.filter(on)
             ident = F.xxhash64(F.lit(name), *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in m.labels])
-            picked = rows.select(ident.alias("series_id"), m.ts.cast("long").alias("ts"), m.value.cast("double").alias("value"), F.lit(False).alias("is_stale"))
+            picked = rows.select(ident.alias("series_id"), m.ts.cast("long").alias("ts"), m.value.cast("double").alias("value"), F.lit(False).alias("is_stale"), m.order.alias("seq"))
             samples.append(picked.filter((F.col("ts") > lo) & (F.col("ts") <= hi)))
             if m.labels:
                 dims.append(rows.select(*m.labels).distinct().select(ident.alias("series_id"), self._map(m).alias("labels")))
@@ -126,7 +133,7 @@ class WideStore(Store):
 
 @dataclass
 class TableStore(Store):
-    """The stored layout: samples(metric_name, series_id, ts, value, is_stale) and series(metric_name, series_id, labels, seen_ms).
+    """The stored layout: samples(metric_name, series_id, ts, value, is_stale; seq where times repeat) and series(metric_name, series_id, labels, seen_ms).
 
     A series is identified by metric and series_id together; the newest labels win.
     """
@@ -157,7 +164,7 @@ class TableStore(Store):
         if any(m.label != NAME for m in matchers):
             rows = rows.join(dim.select("metric_name", "series_id"), ["metric_name", "series_id"], "left_semi")
         return Selection(
-            rows.select(ident.alias("series_id"), "ts", "value", "is_stale"), dim.select(ident.alias("series_id"), L.clean(F.col("labels")).alias("labels"))
+            rows.select(ident.alias("series_id"), "ts", "value", "is_stale", *[c for c in rows.columns if c == "seq"]), dim.select(ident.alias("series_id"), L.clean(F.col("labels")).alias("labels"))
         )
 
     def counts(self) -> DataFrame:
