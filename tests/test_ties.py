@@ -5,10 +5,13 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.plans import catalogue, demo
+from tideline.rollup.build import from_samples
 
-NAMES = ["offset", "instant_selector", "increase", "label_replace", "rate", "resets", "smoothing", "delta", "idelta", "irate", "last_over_time", "rate_many_steps", "stored_selector", "histogram_quantile_by"]
+NAMES = ["increase", "label_replace", "offset", "rate", "resets", "rollup_1h_from_5m", "rollup_5m", "smoothing", "tier_increase"]
+NAMES += ["delta", "idelta", "irate", "last_over_time", "rate_many_steps", "tier_last", "stored_selector", "histogram_quantile_by"]
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +43,10 @@ def test_equal_times(spark, data, name):
     assert len(got) == len(want) > 0
     for a, b in zip(got, want, strict=True):
         assert all(x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_rollup_pairs_all_samples_of_a_time(spark):
+    rows = [("m", 1, 10, 5.0, False, 2), ("m", 1, 10, 4.0, False, 1), ("m", 1, 10, 7.0, False, 3), ("m", 1, 110, 9.0, False, 4)]
+    found = from_samples(spark.createDataFrame(rows, "metric_name string, series_id long, ts long, value double, is_stale boolean, seq long"), 100)
+    got = found.orderBy("bucket").select("bucket", "first_value", "last_value", F.col("counter_total")).collect()
+    assert [tuple(r) for r in got] == [(0, 4.0, 4.0, 3.0), (100, 9.0, 9.0, 2.0)]

@@ -2,7 +2,7 @@
 
 A bucket of a series holds min, max, sum and count of its values, the first and last sample, and the growth of the counter. Growth is
 summed over pairs of neighbouring samples, however far apart, and belongs to the bucket of the later one, so nothing is lost between buckets and a
-counter reset counts from zero. Pairs within a bucket are found there; a bucket's first sample is paired with the last one of the series' bucket before. Every aggregate can be merged, so coarser tiers come from finer ones.
+counter reset counts from zero. Of samples with equal time the first by seq is a bucket's first or last; pairs are of all samples. Pairs within a bucket are found there; a bucket's first sample is paired with the last one of the series' bucket before. Every aggregate can be merged, so coarser tiers come from finer ones.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.selectors import sequenced
+
 KEYS = ("metric_name", "series_id")
 
 
@@ -27,10 +29,13 @@ def from_samples(samples: DataFrame, width: int, before: DataFrame | None = None
 
     before(metric_name, series_id, last_time, last_value) has each series' last sample ahead of these samples.
     """
-    rows = samples.filter(~F.col("is_stale")).select(*KEYS, bucket(F.col("ts"), width).alias("bucket"), "ts", "value")
-    inside = Window.partitionBy(*KEYS, "bucket").orderBy("ts")
+    rows = sequenced(samples).filter(~F.col("is_stale")).select(*KEYS, bucket(F.col("ts"), width).alias("bucket"), "ts", "value", "seq")
+    inside = Window.partitionBy(*KEYS, "bucket").orderBy("ts", "seq")
+    before_it, after_it = F.lag("ts").over(inside), F.lead("ts").over(inside)
     buckets = (
         rows.withColumn("grown", _growth(F.col("value"), F.lag("value").over(inside)))
+        .withColumn("first", F.when(before_it.isNull() | (before_it < F.col("ts")), F.col("ts")))
+        .withColumn("end", F.when(after_it.isNull(), F.col("value")))
         .groupBy(*KEYS, "bucket")
         .agg(
             F.min("value").alias("val_min"),
@@ -40,15 +45,16 @@ def from_samples(samples: DataFrame, width: int, before: DataFrame | None = None
             F.sum("grown").alias("counter_total"),
             F.min("ts").alias("first_time"),
             F.max("ts").alias("last_time"),
-            F.min_by("value", "ts").alias("first_value"),
-            F.max_by("value", "ts").alias("last_value"),
+            F.min_by("value", "first").alias("first_value"),
+            F.max_by("value", "first").alias("last_value"),
+            F.max("end").alias("end"),
         )
     )
-    columns = buckets.columns
+    columns = [c for c in buckets.columns if c != "end"]
     if before is not None:
-        buckets = buckets.unionByName(before.select(*KEYS, "last_time", "last_value"), allowMissingColumns=True)
+        buckets = buckets.unionByName(before.select(*KEYS, "last_time", F.col("last_value").alias("end")), allowMissingColumns=True)
     between = Window.partitionBy(*KEYS).orderBy("last_time")
-    grown = F.col("counter_total") + _growth(F.col("first_value"), F.lag("last_value").over(between))
+    grown = F.col("counter_total") + _growth(F.col("first_value"), F.lag("end").over(between))
     return buckets.withColumn("counter_total", grown).filter("bucket IS NOT NULL").select(*columns)
 
 
