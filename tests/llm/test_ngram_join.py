@@ -153,3 +153,14 @@ def test_count_vectors_of_large_sets_stay_above_the_counts():
     for a in range(len(sets)):
         for b in range(len(sets)):
             assert np.minimum(found[a], found[b]).sum() >= len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_long_unrelated_sets_are_no_candidates():
+    rng = np.random.default_rng(11)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (20_000, 20_000, 19_000)]
+    near = np.concatenate([sets[0][:18_500], rng.integers(0, 1 << 63, 1_200, dtype=np.uint64)])
+    vectors = [J.counts(s) for s in [*sets, near]]
+    need = J.least_overlap(np.array([20_000] * 3), np.array([20_000, 19_000, 19_700]), 80)
+    coarse = J.points(vectors)
+    assert (np.minimum(coarse[0], coarse[1:3]).sum(axis=1) >= need[:2]).all()
+    assert J.fine_enough([vectors[0]] * 3, vectors[1:], need).tolist() == [False, False, True]

@@ -13,6 +13,8 @@ goes on. The join hashes shingles into groups in two ways:
 * Count vectors. The numbers of shingles in DIMS groups make a point; the overlap of two sets is at most the sum of
   the smaller coordinates. Pages of the directory are joined by an R-tree over these points: node boxes carry the
   largest coordinates and the smallest size, node pairs whose bound is too low are pruned, and pairs that survive are verified on the sets.
+  Unrelated sets of n shingles stay below a threshold of 80 % only if there are more than about n / 25 groups, so sets of more than FINE_FROM shingles
+  carry a second vector of FINE groups, and pairs of these have to pass its bound too.
 
 Pages can be large where many documents are near copies. First every entry is compared with the smallest document
 of its page, which links such copies without pairing them all. Only pages that still hold several components go on to the
@@ -41,6 +43,7 @@ from .scratch import Scratch, ship
 from .worker import BUDGET, Recent, held
 
 DIMS = 512
+FINE, FINE_FROM = 4096, 4096
 PAGE = 1024
 NODE = 16
 BAND = 1.5
@@ -175,16 +178,35 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = 200_000) -> np.nd
 
 
 def counts(s: np.ndarray) -> bytes:
-    """The count vector of a set: a scale, and a byte for each group. A count is at most byte * scale, so bounds on overlaps hold."""
-    n = np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+    """The count vector of a set: a scale, and a byte for each group. A count is at most byte * scale, so bounds on overlaps hold. A large set's fine vector follows."""
+    return b"".join(_counted(s, dims) for dims in ((DIMS, FINE) if len(s) > FINE_FROM else (DIMS,)))
+
+
+def _counted(s: np.ndarray, dims: int) -> bytes:
+    n = np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
     scale = max(1, -(-int(n.max()) // 255))
     return scale.to_bytes(4, "little") + (-(-n // scale)).astype(np.uint8).tobytes()
 
 
+def _numbers(raw: bytes, dims: int) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, 4 + dims)
+    return rows[:, 4:] * np.ascontiguousarray(rows[:, :4]).view("<u4").astype(np.int32)
+
+
 def points(vectors: list[bytes]) -> np.ndarray:
     """Count vectors as rows of numbers."""
-    raw = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, 4 + DIMS)
-    return raw[:, 4:] * np.ascontiguousarray(raw[:, :4]).view("<u4").astype(np.int32)
+    return _numbers(b"".join([v[: 4 + DIMS] for v in vectors]), DIMS)
+
+
+def fine_enough(left: list[bytes], right: list[bytes], need: np.ndarray) -> np.ndarray:
+    """Which pairs (left, right) may overlap by need after their fine vectors; True where one of them has none."""
+    out = np.ones(len(left), bool)
+    both = [k for k, (x, y) in enumerate(zip(left, right, strict=True)) if len(x) > 4 + DIMS and len(y) > 4 + DIMS]
+    for at in range(0, len(both), 128):
+        own = both[at : at + 128]
+        x, y = (_numbers(b"".join([side[k][4 + DIMS :] for k in own]), FINE) for side in (left, right))
+        out[own] = np.minimum(x, y).sum(axis=1) >= need[own]
+    return out
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -310,9 +332,11 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                left, right = points(part.column(3).to_pylist()), points(part.column(5).to_pylist())
+                left, right = part.column(3).to_pylist(), part.column(5).to_pylist()
                 a, b, na, nb = (part.column(k).to_numpy() for k in (0, 1, 2, 4))
-                on = np.minimum(left, right).sum(axis=1) >= least_overlap(na, nb, percent)
+                need = least_overlap(na, nb, percent)
+                on = np.flatnonzero(np.minimum(points(left), points(right)).sum(axis=1) >= need)
+                on = on[fine_enough([left[k] for k in on], [right[k] for k in on], need[on])]
                 yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on])], names=["a", "b"])
 
     return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(keep, "a long, b long")
@@ -340,7 +364,8 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             _, i, j = own
             block, rep, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            vectors = points([r[4] for r in rows])
+            raw = [r[4] for r in rows]
+            vectors = points(raw)
             a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
             found = set()
             if len(a) and len(b):
@@ -348,7 +373,8 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
                 right = left if i == j else RTree(vectors[b], size[b])
                 for x, y in tree_join(left, right, percent):
                     x, y = a[x], b[y]
-                    on = comp[x] != comp[y]
+                    on = np.flatnonzero(comp[x] != comp[y])
+                    on = on[fine_enough([raw[k] for k in x[on]], [raw[k] for k in y[on]], least_overlap(size[x[on]], size[y[on]], percent))]
                     lo, hi = np.minimum(rep[x[on]], rep[y[on]]), np.maximum(rep[x[on]], rep[y[on]])
                     found.update(zip(lo.tolist(), hi.tolist(), strict=True))
             out = np.array(sorted(found), np.int64).reshape(-1, 2)

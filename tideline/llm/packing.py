@@ -31,6 +31,8 @@ from .tokens import encoder
 from .worker import blocks
 
 CAPACITY = 2048
+#: Bytes of texts that are encoded together; the arrays over them are what a worker peaks with.
+BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -145,7 +147,7 @@ def token_pieces(
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for lo, hi in blocks(batch.column(1)):
+            for lo, hi in blocks(batch.column(1), BLOCK):
                 ids, firsts = encode(batch.column(1).slice(lo, hi - lo))
                 rows: list[tuple] = []
                 for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):

@@ -6,6 +6,7 @@ at a time, and a table that grows with the texts it meets drops what was not ask
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -30,9 +31,18 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
         gc.collect()
         pa.default_memory_pool().release_unused()
         _slot[key] = make()
+        _trim()
     return _slot[key]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Recent:
     """Values by text in two generations of half the budget each; a value that is asked for in the older one moves to the newer."""
 
