@@ -72,3 +72,12 @@ def test_few_labels_in_a_large_table_are_all_learned_from(spark, monkeypatch):
     assert model.combine is not None
     got = {r.doc_id: r.score for r in Q.score(docs, model).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(truth[i]) for i in truth]) >= 0.95
+
+
+def test_features_are_made_once(spark):
+    docs, labels, _ = corpus(spark, 6, 300)
+    got = Q.score_documents(docs, labels)
+    read = got.inputFiles()
+    assert read and all("/features/" in name for name in read)
+    apart = {r.doc_id: r.score for r in Q.score(docs, Q.train(docs, labels)).collect()}
+    assert {r.doc_id: r.score for r in got.collect()} == apart

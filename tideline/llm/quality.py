@@ -8,6 +8,7 @@ were held out, a logistic combination of both is fitted there, and every documen
 Training reads at most about `sample_rows` labelled documents: the rarer class up to half of that, the other up to the rest, by a hash
 of doc_id. Every document without a label is in the pool, which is dealt into shards of about POOL_ROWS. Each shard is co-trained with
 all of those labelled rows, and the means of the shards' linear models are the classifiers. All documents are scored on their whole texts.
+The features of every document are made once, in a table of the shared folder that training and scoring read.
 
 Defined cases: null and empty texts have the features of no words; null metadata is a value of its own; labels that
 are null, or differ between rows of one doc_id, are not learned from; with fewer than 10 labelled rows of a
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ship
+from .scratch import Scratch, ship
 from .worker import held
 
 WORDS = 512
@@ -228,11 +229,16 @@ def _features(docs: DataFrame, rest: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
+                collects = gc.isenabled()
+                gc.disable()
                 cols = [c.to_pylist() for c in part.columns[1:5]]
+                views = view(cols[0]), meta_view(*cols[1:])
+                if collects:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r.tobytes() for r in view(cols[0])], pa.binary()),
-                        pa.array([r.tobytes() for r in meta_view(*cols[1:])], pa.binary()),
+                        pa.array([r.tobytes() for r in views[0]], pa.binary()),
+                        pa.array([r.tobytes() for r in views[1]], pa.binary()),
                         *part.columns[5:],
                     ],
                     names=["text", "meta", *part.schema.names[5:]],
@@ -256,10 +262,18 @@ def _inputs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _taught(docs: DataFrame, known: DataFrame, rows: int, views: tuple[np.ndarray, np.ndarray], label: np.ndarray, prior: float) -> list[Linear]:
-    """The means of the models that the shards of the pool lead to; rows is the size of the pool, the rows of docs that are not in known."""
+def features(docs: DataFrame) -> DataFrame:
+    """Both views of every row as bytes, with doc_id, a hash of the text and one of both."""
+    ship(docs.sparkSession)
+    own = _inputs(docs)
+    named = own.select("*", F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"), F.xxhash64("doc_id", "text").alias("at"))
+    return _features(named, "id long, body long, at long").withColumnRenamed("id", "doc_id")
+
+
+def _taught(made: DataFrame, known: DataFrame, rows: int, views: tuple[np.ndarray, np.ndarray], label: np.ndarray, prior: float) -> list[Linear]:
+    """The means of the models that the shards of the pool lead to; rows is the size of the pool, the rows of made that are not in known."""
     shards = max(1, -(-rows // POOL_ROWS))
-    sent = docs.sparkSession.sparkContext.broadcast((views, label))
+    sent = made.sparkSession.sparkContext.broadcast((views, label))
 
     def fit(part: pa.Table, known: pa.Table) -> pa.Table:
         (text, meta), label = sent.value
@@ -273,11 +287,9 @@ def _taught(docs: DataFrame, known: DataFrame, rows: int, views: tuple[np.ndarra
 
     # Features travel, not texts. Labelled rows are left out where they arrive; rows without doc_id are spread by text.
     shard = lambda c: F.pmod(c, F.lit(shards)).alias("shard")
-    dealt = docs.select("*", "doc_id", F.xxhash64("doc_id", "text").alias("at"), shard(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
-    dealt = dealt.toDF("id", "body", *dealt.columns[2:])
+    dealt = made.select("text", "meta", "doc_id", "at", shard(F.when(F.col("doc_id").isNull(), F.col("body")).otherwise(F.xxhash64("doc_id"))))
     got = (
-        _features(dealt, "doc_id long, at long, shard long")
-        .groupBy("shard")
+        dealt.groupBy("shard")
         .cogroup(known.select("of", shard(F.xxhash64("of"))).groupBy("shard"))
         .applyInArrow(fit, "place long, value double")
         .groupBy("place")
@@ -289,9 +301,11 @@ def _taught(docs: DataFrame, known: DataFrame, rows: int, views: tuple[np.ndarra
     return [Linear(v[:-1].astype(np.float32), float(v[-1])) for v in (got[: TEXT + 1], got[TEXT + 1 :])]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, made: DataFrame | None = None) -> CoTrained:
+    """made: the features of docs, if there is a table of them."""
     ship(docs.sparkSession)
     own = _inputs(docs)
+    made = features(docs) if made is None else made
     known = (
         labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("of"))
@@ -312,11 +326,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> CoTr
         part = F.when(F.col("label") > 0, int(share[1.0] * (1 << 32))).otherwise(int(share[0.0] * (1 << 32)))
         chosen = chosen.filter(F.pmod(F.xxhash64("of"), F.lit(1 << 32)) < part)
     # At most about sample_rows keys, so the texts need not be shuffled.
-    sample = own.join(F.broadcast(chosen), same).drop("of").withColumn("at", F.xxhash64("doc_id", "text"))
-    got = _features(sample, "label double, at long").toPandas().sort_values("at")
+    got = made.join(F.broadcast(chosen), same).select("text", "meta", "label", "at").toPandas().sort_values("at")
     views, label = (_matrix(got["text"]), _matrix(got["meta"])), got["label"].to_numpy(float)
     rows = own.count() - total
-    models = _taught(own, known, rows, views, label, prior) if rows else _rounds(views, label, prior)
+    models = _taught(made, known, rows, views, label, prior) if rows else _rounds(views, label, prior)
     return _combined(models, views, label, prior)
 
 
@@ -342,6 +355,21 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     return _inputs(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def _score_features(made: DataFrame, model: CoTrained) -> DataFrame:
+    sent = made.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                p = sent.value.scores(_matrix(part.column(1).to_pylist()), _matrix(part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.astype(np.float64))], names=["doc_id", "score"])
+
+    return made.select("doc_id", "text", "meta").mapInArrow(run, "doc_id long, score double")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, kept (score at or above the threshold) of every document."""
-    return score(docs, train(docs, labels)).withColumn("kept", F.col("score") >= threshold)
+    made = Scratch(docs.sparkSession, "quality").table("features", features(docs))
+    model = train(docs, labels, made=made)
+    return _score_features(made, model).withColumn("kept", F.col("score") >= threshold)
