@@ -164,3 +164,51 @@ def test_long_unrelated_sets_are_no_candidates():
     coarse = J.points(vectors)
     assert (np.minimum(coarse[0], coarse[1:3]).sum(axis=1) >= need[:2]).all()
     assert J.fine_enough([vectors[0]] * 3, vectors[1:], need).tolist() == [False, False, True]
+
+
+@pytest.mark.parametrize("block", [1, 60, 400])
+def test_small_blocks_of_a_cluster(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rows = copies(13, 120)
+    got = J.link_documents(documents(spark, rows), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 5, 80)
+
+
+def test_pages_and_clusters_yield_no_more_than_joins_them(spark):
+    """All 300 sets are candidates of each other, and none links with another; before, each pair was a row."""
+    n = 300
+    raw = J.counts(np.arange(512, dtype=np.uint64))
+    rows = [(7, k, k, 512, raw) for k in range(n)]
+    pages = spark.createDataFrame(rows, "key long, rep long, component long, n_shingles long, point binary")
+    got = [(r.a, r.b) for r in J._page_pairs(pages, 80).collect()]
+    assert len(got) == n - 1
+    common = np.arange(300, dtype=np.uint64)
+    sets = [np.concatenate([common, np.arange(1000 * k, 1000 * k + 100, dtype=np.uint64)]) for k in range(1, n + 1)]
+    assert J.spanning_links(sets, np.arange(n), None, 80) == []
+    assert len(J.spanning_links([common] * n, np.arange(n), None, 80)) == n - 1
+
+
+def test_spanning_links_against_every_pair():
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 2**63, k).astype(np.uint64) for k in (1, 3, 20, 80)]
+    sets = []
+    for _ in range(120):
+        own = base[rng.integers(4)]
+        own = own[rng.random(len(own)) < 0.95]
+        sets.append(np.unique(np.append(own, rng.integers(0, 2**63, 1 + rng.integers(3)).astype(np.uint64))))
+    for side in (None, rng.integers(0, 2, len(sets))):
+        parts, wanted = list(range(len(sets))), list(range(len(sets)))
+
+        def join(of, x, y):
+            x, y = of[x], of[y]
+            of[:] = [x if k == y else k for k in of]
+
+        for x, y in J.spanning_links(sets, np.arange(len(sets)), side, 80):
+            assert parts[x] != parts[y]
+            join(parts, x, y)
+        for x in range(len(sets)):
+            for y in range(x):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if (side is None or side[x] != side[y]) and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                    join(wanted, x, y)
+        assert len(set(zip(parts, wanted, strict=True))) == len(set(parts)) == len(set(wanted)) < len(sets)

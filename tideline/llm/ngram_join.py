@@ -12,13 +12,16 @@ goes on. The join hashes shingles into groups in two ways:
   frequent shingles last, by counts over all documents; any order gives the same links.
 * Count vectors. The numbers of shingles in DIMS groups make a point; the overlap of two sets is at most the sum of
   the smaller coordinates. Pages of the directory are joined by an R-tree over these points: node boxes carry the
-  largest coordinates and the smallest size, node pairs whose bound is too low are pruned, and pairs that survive are verified on the sets.
+  largest coordinates and the smallest size, and node pairs whose bound is too low are pruned.
   Unrelated sets of n shingles stay below a threshold of 80 % only if there are more than about n / 25 groups, so sets of more than FINE_FROM shingles
   carry a second vector of FINE groups, and pairs of these have to pass its bound too.
 
-Pages can be large where many documents are near copies. First every entry is compared with the smallest document
-of its page, which links such copies without pairing them all. Only pages that still hold several components go on to the
-tree join, in blocks of bounded size, and only pairs across components are looked at. Components need no more than that.
+Pairs that the bounds allow are never listed: they join documents to clusters, and as every link is such a pair, no link leaves a cluster. First every entry is
+compared with the smallest document of its page, which joins near copies without pairing them all. Only pages that still hold several clusters go on to the
+tree join, in blocks of bounded size, and a task there keeps only pairs that join two clusters. Then the sets of each cluster meet in one task, once, in blocks
+of about BLOCK shingles: overlaps are counted on the sets, and a task yields only links that join two components. Clusters of several blocks are first
+linked within their blocks and with the cluster's smallest document; every two blocks meet only if the cluster is then still in several components.
+Components need no more than that.
 
 Sets are held as hashes: shingles of 64 bits, and a class is told by its size and two sums of 64 bits over mixed shingles. Classes have numbers of their
 own, so rows that repeat a doc_id with other texts are documents of their own; only the result names components by doc_id.
@@ -45,6 +48,8 @@ from .worker import BUDGET, Recent, held
 DIMS = 512
 FINE, FINE_FROM = 4096, 4096
 PAGE = 1024
+#: Shingles of a block of a cluster; a task holds two blocks of sets.
+BLOCK = 1 << 21
 NODE = 16
 BAND = 1.5
 #: Counters a task keeps while it counts shingles.
@@ -279,46 +284,110 @@ def tree_join(left: RTree, right: RTree, percent: int) -> Iterator[tuple[np.ndar
                 yield left.order[a + own.start], right.order[b + other.start]
 
 
-def _load_sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int) -> DataFrame:
-    """id and its sorted shingle hashes, for the classes that pairs (a, b) name. The one place where texts are shuffled."""
-    named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    need = scratch.table(f"{name}-need", reps.join(named, "rep", "left_semi").select(F.col("rep").alias("id"), "doc_id", "t"))
+def spanning_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Places of linked sets, as many links as join the labels that links reach. With side, only sets of different sides are compared.
+
+    A set is compared with all sets behind it at once: its shingles are marked, and the marks under the others are summed.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, label = n[order], label[order].copy()
+    side = None if side is None else side[order]
+    _, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    shared_by = np.bincount(ids)[ids] > 1
+    ends = np.append(0, np.cumsum(shared_by))[np.append(0, np.cumsum(n))]
+    ids = ids[shared_by]
+    marks = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    last = np.searchsorted(n, n * 100 // percent, side="right")  # a larger set cannot link
+    out = []
+    for k in range(len(n) - 1):
+        live = label[k + 1 : last[k]] != label[k]
+        if side is not None:
+            live &= side[k + 1 : last[k]] != side[k]
+        at = np.flatnonzero(live) + k + 1
+        if not len(at):
+            continue
+        own = ids[ends[k] : ends[k + 1]]
+        marks[own] = True
+        lo, hi = at[0], at[-1] + 1
+        sums = np.append(0, np.cumsum(marks[ids[ends[lo] : ends[hi]]]))
+        marks[own] = False
+        shared = sums[ends[at + 1] - ends[lo]] - sums[ends[at] - ends[lo]]
+        at = at[(100 * shared >= percent * (n[k] + n[at] - shared)) & (shared > 0)]
+        while len(at):
+            out.append((int(order[k]), int(order[at[0]])))
+            label[label == label[at[0]]] = label[k]
+            at = at[label[at] != label[k]]
+    return out
+
+
+def _cluster_links(dealt: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links u, v that join the components within (cluster, i, j); rows of dealt have rep, doc_id, t, cluster, i, j, block and component."""
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler(words)
         for batch in batches:
-            sets = [shingle(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    # A class's text may occur in several rows with its doc_id.
-    found = texts.join(need, ["doc_id", "t"]).select("id", "text")
-    return scratch.table(f"{name}-sets", found.mapInArrow(load, "id long, s binary").dropDuplicates(["id"]))
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                sets = [shingle(t).tobytes() for t in part.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(sets, pa.binary())], names=["cluster", "i", "j", "rep", "block", "component", "s"])
 
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, reps, blocks, comps, sets = None, [], [], [], []
 
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, as edges u, v."""
+        def flush() -> pa.RecordBatch:
+            side = None if own[1] == own[2] else np.array(blocks, np.int64)
+            found = spanning_links(sets, np.array(comps, np.int64), side, percent)
+            out = np.array([(reps[x], reps[y]) for x, y in found], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep[k] = 100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["u", "v"])
-
-    joined = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-        .join(sets.withColumnRenamed("id", "a"), "a")
-        .select("a", "b", "s", "t")
+            for k, (*at, rep, block, comp) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                if at != own:
+                    if len(reps) > 1:
+                        yield flush()
+                    own, reps, blocks, comps, sets = at, [], [], [], []
+                if reps and reps[-1] == rep:
+                    continue  # a class's text may occur in several rows with its doc_id
+                reps.append(rep), blocks.append(block), comps.append(comp)
+                sets.append(np.frombuffer(batch.column(6)[k].as_py(), np.uint64))
+        if len(reps) > 1:
+            yield flush()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    # The one place where texts are shuffled.
+    found = texts.join(dealt, ["doc_id", "t"]).select("cluster", "i", "j", "rep", "block", "component", "text")
+    loaded = found.mapInArrow(load, "cluster long, i long, j long, rep long, block long, component long, s binary")
+    sorted_ = loaded.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    return sorted_.mapInArrow(join, "u long, v long")
+
+
+def _verified(near: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links u, v that join all that links join, out of clusters (node, component) that no link leaves."""
+    own = reps.select("rep", "doc_id", "t", "n_shingles").join(near.toDF("rep", "cluster"), "rep")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"), F.min("rep").alias("pivot"))
+    placed = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("n_shingles")
+    placed = scratch.table("placed", placed)
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    # Each block by itself, with the smallest member of the cluster.
+    alone = F.when(F.col("rep") == F.col("pivot"), every).otherwise(F.array("block"))
+    first = placed.withColumn("i", F.explode(alone)).withColumn("j", F.col("i")).withColumn("component", F.col("rep"))
+    columns = ["rep", "doc_id", "t", "cluster", "i", "j", "block", "component"]
+    links = scratch.table("links-1", _cluster_links(first.select(*columns), docs, words, percent))
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    # Then every two blocks of the clusters that are still in several parts.
+    labelled = large.join(components(links, scratch, "blocks").withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
     )
-    return scratch.table(f"{name}-links", joined.mapInArrow(check, "u long, v long"))
+    labelled = scratch.table("labelled", labelled)
+    parted = labelled.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cluster")
+    pairs = labelled.join(parted, "cluster").withColumn("other", F.explode(every)).filter("other <> block")
+    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return links.union(scratch.table("links-2", _cluster_links(pairs.select(*columns), docs, words, percent)))
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +412,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components within pages, by tree joins of blocks of at most about PAGE entries."""
+    """Candidate pairs that join components within pages, by tree joins of blocks of at most about PAGE entries."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # Block i meets every block j >= i, in a task of its own.
@@ -367,17 +436,21 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
             raw = [r[4] for r in rows]
             vectors = points(raw)
             a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            found = set()
+            label, found = comp.copy(), []
             if len(a) and len(b):
                 left = RTree(vectors[a], size[a])
                 right = left if i == j else RTree(vectors[b], size[b])
                 for x, y in tree_join(left, right, percent):
                     x, y = a[x], b[y]
-                    on = np.flatnonzero(comp[x] != comp[y])
+                    on = np.flatnonzero(label[x] != label[y])
                     on = on[fine_enough([raw[k] for k in x[on]], [raw[k] for k in y[on]], least_overlap(size[x[on]], size[y[on]], percent))]
-                    lo, hi = np.minimum(rep[x[on]], rep[y[on]]), np.maximum(rep[x[on]], rep[y[on]])
-                    found.update(zip(lo.tolist(), hi.tolist(), strict=True))
-            out = np.array(sorted(found), np.int64).reshape(-1, 2)
+                    x, y = x[on], y[on]
+                    while len(x):
+                        found.append((rep[x[0]], rep[y[0]]))
+                        label[label == label[y[0]]] = label[x[0]]
+                        on = label[x] != label[y]
+                        x, y = x[on], y[on]
+            out = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -433,11 +506,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     pivots = shared.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     star = shared.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.table("star", _bounded(star, reps, percent))
-    links = _verify(star, _load_sets(star, reps, docs, scratch, "star", words), scratch, "star", percent)
-    scratch.drop("star-sets", "star-need")
-    first = scratch.table("first", components(links, scratch, "first"))
+    near = scratch.table("near", components(star.toDF("u", "v"), scratch, "near"))
     labelled = (
-        shared.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+        shared.join(near.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", "rep", F.coalesce("component", "rep").alias("component"))
         .distinct()
     )
@@ -448,19 +519,19 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
         .select("key")
     )
     left = labelled.join(mixed, "key").join(reps.select("rep", "n_shingles", "point"), "rep")
-    rest = _page_pairs(scratch.table("left", left), percent).join(
-        star.select(F.col("a").alias("sa"), F.col("b").alias("sb")), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti"
-    )
-    rest = scratch.table("rest", rest)
+    rest = scratch.table("rest", _page_pairs(scratch.table("left", left), percent))
+    scratch.drop("left", "shared")
     if not rest.isEmpty():
-        links = links.union(_verify(rest, _load_sets(rest, reps, docs, scratch, "rest", words), scratch, "rest", percent))
-        first = scratch.table("second", components(links, scratch, "second"))
+        near = scratch.table("clusters", components(star.union(rest).toDF("u", "v"), scratch, "clusters"))
+    links = _verified(near, reps, docs, scratch, words, percent)
+    first = scratch.table("first", components(links, scratch, "first"))
     placed = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
         *same, "least", F.coalesce("component", "rep").alias("component")
     )
     lowest = placed.groupBy("component").agg(F.min("least").alias("lowest"))
     named = scratch.table("named", placed.join(lowest, "component").select(*same, "least", "component", "lowest"))
-    scratch.drop("classes", "shared", "reps", "star", "first", "second", "left", "rest", "star-links", "rest-links", "rest-sets", "rest-need")
+    for name in ("classes", "reps", "star", "near", "clusters", "placed", "blocks", "labelled", "first", "rest", "links-1", "links-2"):
+        scratch.drop(name)
     without = F.when(F.col("doc_id").isNotNull(), F.col("h1"))  # such rows meet no set
     return plain.select("doc_id", "t", "n_shingles", without.alias("h1"), "h2"), named
 
