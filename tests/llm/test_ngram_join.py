@@ -212,3 +212,12 @@ def test_spanning_links_against_every_pair():
                 if (side is None or side[x] != side[y]) and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
                     join(wanted, x, y)
         assert len(set(zip(parts, wanted, strict=True))) == len(set(parts)) == len(set(wanted)) < len(sets)
+
+
+def test_pages_are_cut_by_size(spark):
+    rows = [(1, k, n) for k, n in enumerate([100, 125, 156, 196, 250, 251, 500])] + [(2, 9, 5), (2, 10, 7)]
+    got = J._by_size(spark.createDataFrame(rows, "key long, rep long, n_shingles long"), 80).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.key, []).append(r.rep)
+    assert sorted(map(sorted, parts.values())) == [[0, 1], [4, 5]]

@@ -16,6 +16,7 @@ goes on. The join hashes shingles into groups in two ways:
   Unrelated sets of n shingles stay below a threshold of 80 % only if there are more than about n / 25 groups, so sets of more than FINE_FROM shingles
   carry a second vector of FINE groups, and pairs of these have to pass its bound too.
 
+A page is cut where the next larger size is out of reach of a link, before anything else is done with it.
 Pairs that the bounds allow are never listed: they join documents to clusters, and as every link is such a pair, no link leaves a cluster. First every entry is
 compared with the smallest document of its page, which joins near copies without pairing them all. Only pages that still hold several clusters go on to the
 tree join, in blocks of bounded size, and a task there keeps only pairs that join two clusters. Then the sets of each cluster meet in one task, once, in blocks
@@ -38,7 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -411,6 +412,15 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(keep, "a long, b long")
 
 
+def _by_size(shared: DataFrame, percent: int) -> DataFrame:
+    """Pages cut where the next larger size is out of reach of a link; parts of one document go."""
+    page = Window.partitionBy("key").orderBy("n_shingles", "rep")
+    cut = (100 * F.lag("n_shingles").over(page) < percent * F.col("n_shingles")).cast("int")
+    parts = shared.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("part", F.sum("cut").over(page))
+    parts = parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "part"))).filter("n > 1")
+    return parts.select(F.xxhash64("key", "part").alias("key"), "rep", "n_shingles")
+
+
 def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs that join components within pages, by tree joins of blocks of at most about PAGE entries."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("blocks"))
@@ -498,13 +508,17 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     pages = members.groupBy("key").agg(F.min("row").alias("x"), F.max("row").alias("y")).filter("x <> y").select("key")
     shared = scratch.table("entries", members.join(pages, "key"))
     plain = scratch.table("plain", rows.drop("keys", "point"))
-    own = plain.filter("doc_id IS NOT NULL").join(classes, same).select("row", "rep")
-    shared = scratch.table("shared", shared.join(own, "row").select("key", "rep").distinct())
+    own = plain.filter("doc_id IS NOT NULL").join(classes, same).select("row", "rep", "n_shingles")
+    shared = scratch.table("shared", _by_size(shared.join(own, "row").select("key", "rep", "n_shingles").distinct(), percent))
     live = shared.select(F.col("rep").alias("row")).distinct()
     reps = scratch.table("reps", rows.join(live, "row", "left_semi").select(F.col("row").alias("rep"), "doc_id", "t", "n_shingles", "point"))
     scratch.drop("rows", "entries")
-    pivots = shared.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = shared.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pivots = shared.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("pivot"))
+    star = shared.join(pivots, "key").filter(
+        (F.col("rep") != F.col("pivot.rep"))
+        & (100 * F.least("n_shingles", "pivot.n_shingles") >= percent * F.greatest("n_shingles", "pivot.n_shingles"))
+    )
+    star = star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.table("star", _bounded(star, reps, percent))
     near = scratch.table("near", components(star.toDF("u", "v"), scratch, "near"))
     labelled = (
