@@ -220,4 +220,4 @@ def test_pages_are_cut_by_size(spark):
     parts = {}
     for r in got:
         parts.setdefault(r.key, []).append(r.rep)
-    assert sorted(map(sorted, parts.values())) == [[0, 1], [4, 5]]
+    assert sorted(map(sorted, parts.values())) == [[0, 1, 2], [4, 5]]
