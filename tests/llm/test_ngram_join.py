@@ -221,3 +221,24 @@ def test_pages_are_cut_by_size(spark):
     for r in got:
         parts.setdefault(r.key, []).append(r.rep)
     assert sorted(map(sorted, parts.values())) == [[0, 1, 2], [4, 5]]
+
+
+def test_texts_that_no_cluster_names_stay(spark):
+    """Before, every text was shuffled to the clusters."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(3000)] + [(None, "x"), (5, None), (5, "another")])
+    named = docs.filter("doc_id IN (5, 70, 2999)").selectExpr("doc_id", "xxhash64(text) AS t")
+    got = sorted((r.doc_id, r.text or "") for r in J._named_texts(docs, named.union(named)).collect())
+    assert [x for x in got if x[0] in (5, 70, 2999)] == [(5, ""), (5, "another"), (5, "text 5"), (70, "text 70"), (2999, "text 2999")]
+    assert len(got) < 20
+    assert J._named_texts(docs, named.limit(0)).count() == 0
+
+
+def test_vectors_travel_packed(spark):
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 250), (300, 250), (20_000, 2600)):
+        v = J.counts(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert J.unpacked(J.packed(v)) == v and len(J.packed(v)) < most
+    raw = J.counts(np.arange(512, dtype=np.uint64))
+    pages = spark.createDataFrame([(7, k, k, 512) for k in range(40)], "key long, rep long, component long, n_shingles long")
+    vectors = spark.createDataFrame([(k, bytearray(J.packed(raw))) for k in range(40)], "rep long, point binary")
+    assert J._page_pairs(pages, 80, vectors).count() == 39

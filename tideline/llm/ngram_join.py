@@ -24,6 +24,9 @@ of about BLOCK shingles: overlaps are counted on the sets, and a task yields onl
 linked within their blocks and with the cluster's smallest document; every two blocks meet only if the cluster is then still in several components.
 Components need no more than that.
 
+What moves between tasks is kept small: count vectors travel packed, pages are dealt into blocks before vectors join them, and before texts are shuffled
+a bitmap of fixed size leaves out most documents that no cluster names; the join behind it decides.
+
 Sets are held as hashes: shingles of 64 bits, and a class is told by its size and two sums of 64 bits over mixed shingles. Classes have numbers of their
 own, so rows that repeat a doc_id with other texts are documents of their own; only the result names components by doc_id.
 
@@ -34,6 +37,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,6 +55,8 @@ FINE, FINE_FROM = 4096, 4096
 PAGE = 1024
 #: Shingles of a block of a cluster; a task holds two blocks of sets.
 BLOCK = 1 << 21
+#: Bits of the map of the documents that clusters name; with more of them it lets more others pass.
+NAMED = 1 << 24
 NODE = 16
 BAND = 1.5
 #: Counters a task keeps while it counts shingles.
@@ -188,6 +194,16 @@ def counts(s: np.ndarray) -> bytes:
     return b"".join(_counted(s, dims) for dims in ((DIMS, FINE) if len(s) > FINE_FROM else (DIMS,)))
 
 
+def packed(vector: bytes) -> bytes:
+    """A count vector as it travels. Counts are small numbers without order, so they are Huffman-coded only."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return z.compress(vector) + z.flush()
+
+
+def unpacked(sent: bytes) -> bytes:
+    return zlib.decompress(sent, -15)
+
+
 def _counted(s: np.ndarray, dims: int) -> bytes:
     n = np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
     scale = max(1, -(-int(n.max()) // 255))
@@ -216,7 +232,7 @@ def fine_enough(left: list[bytes], right: list[bytes], need: np.ndarray) -> np.n
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row number, doc_id and a hash of the text, n_shingles, two hashes of the set, its directory keys and its count vector."""
+    """A row number, doc_id and a hash of the text, n_shingles, two hashes of the set, its directory keys and its packed count vector."""
     frequent = None
     if percent < GROUPS_FROM:
         frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
@@ -240,7 +256,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(sums[:, 0]),
                         pa.array(sums[:, 1]),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.array([counts(s) for s in sets], pa.binary()),
+                        pa.array([packed(counts(s)) for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "t", "n_shingles", "h1", "h2", "keys", "point"],
                 )
@@ -322,6 +338,27 @@ def spanning_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray |
     return out
 
 
+def _named_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, t and text of all documents whose doc_id and t are in named, and of a few others."""
+    place = F.pmod(F.xxhash64("doc_id", "t"), F.lit(NAMED)) + 1  # the functions for bitmaps count from 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    bits = np.zeros(NAMED // 8, np.uint8)
+    for r in named.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():
+        at = (r.bucket - 1) * len(r.bits)
+        bits[at : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(3).to_numpy()
+            on = sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1
+            yield batch.select([0, 1, 2]).filter(pa.array(on.astype(bool)))
+
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return texts.withColumn("place", place - 1).mapInArrow(keep, "doc_id long, t long, text string")
+
+
 def _cluster_links(dealt: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links u, v that join the components within (cluster, i, j); rows of dealt have rep, doc_id, t, cluster, i, j, block and component."""
 
@@ -356,10 +393,8 @@ def _cluster_links(dealt: DataFrame, docs: DataFrame, words: int, percent: int)
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     # The one place where texts are shuffled.
-    found = texts.join(dealt, ["doc_id", "t"]).select("cluster", "i", "j", "rep", "block", "component", "text")
+    found = _named_texts(docs, dealt).join(dealt, ["doc_id", "t"]).select("cluster", "i", "j", "rep", "block", "component", "text")
     loaded = found.mapInArrow(load, "cluster long, i long, j long, rep long, block long, component long, s binary")
     sorted_ = loaded.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
     return sorted_.mapInArrow(join, "u long, v long")
@@ -402,7 +437,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                left, right = part.column(3).to_pylist(), part.column(5).to_pylist()
+                left, right = ([unpacked(v) for v in part.column(k).to_pylist()] for k in (3, 5))
                 a, b, na, nb = (part.column(k).to_numpy() for k in (0, 1, 2, 4))
                 need = least_overlap(na, nb, percent)
                 on = np.flatnonzero(np.minimum(points(left), points(right)).sum(axis=1) >= need)
@@ -421,8 +456,11 @@ def _by_size(shared: DataFrame, percent: int) -> DataFrame:
     return parts.select(F.xxhash64("key", "part").alias("key"), "rep", "n_shingles")
 
 
-def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that join components within pages, by tree joins of blocks of at most about PAGE entries."""
+def _page_pairs(members: DataFrame, percent: int, vectors: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs that join components within pages, by tree joins of blocks of at most about PAGE entries.
+
+    vectors: rep and packed count vector, if members have no vectors of their own.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # Block i meets every block j >= i, in a task of its own.
@@ -434,8 +472,11 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
         "rep",
         "component",
         "n_shingles",
-        "point",
+        *(["point"] if vectors is None else []),
     )
+    if vectors is not None:
+        spread = spread.join(vectors.toDF("rep", "point"), "rep").select("key", "i", "j", "block", "rep", "component", "n_shingles", "point")
+    load = bytes if vectors is None else unpacked
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = None, []
@@ -443,13 +484,13 @@ def _page_pairs(members: DataFrame, percent: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             _, i, j = own
             block, rep, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            raw = [r[4] for r in rows]
-            vectors = points(raw)
+            raw = [load(r[4]) for r in rows]
+            at = points(raw)
             a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
             label, found = comp.copy(), []
             if len(a) and len(b):
-                left = RTree(vectors[a], size[a])
-                right = left if i == j else RTree(vectors[b], size[b])
+                left = RTree(at[a], size[a])
+                right = left if i == j else RTree(at[b], size[b])
                 for x, y in tree_join(left, right, percent):
                     x, y = a[x], b[y]
                     on = np.flatnonzero(label[x] != label[y])
@@ -523,7 +564,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     near = scratch.table("near", components(star.toDF("u", "v"), scratch, "near"))
     labelled = (
         shared.join(near.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        .select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
         .distinct()
     )
     mixed = (
@@ -532,8 +573,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
         .filter("x <> y AND n > 2")
         .select("key")
     )
-    left = labelled.join(mixed, "key").join(reps.select("rep", "n_shingles", "point"), "rep")
-    rest = scratch.table("rest", _page_pairs(scratch.table("left", left), percent))
+    left = scratch.table("left", labelled.join(mixed, "key"))
+    rest = scratch.table("rest", _page_pairs(left, percent, reps.select("rep", "point")))
     scratch.drop("left", "shared")
     if not rest.isEmpty():
         near = scratch.table("clusters", components(star.union(rest).toDF("u", "v"), scratch, "clusters"))
