@@ -146,3 +146,31 @@ def test_threshold_follows_recall():
     rng = np.random.default_rng(6)
     x = rng.integers(97, 123, (900, S.WIDTH)).astype(np.uint8)
     assert S.fit(x, (np.arange(900) % 10 == 0).astype(float)).threshold < 0.5
+
+
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """Before, at most train_rows windows of all documents were learned from, and a third of these gave the threshold."""
+    rows = made(7, 400)
+    docs = documents(spark, rows)
+    found = {(bytes(r.window), r.finding) for r in S.candidates(docs).collect()}
+    seen, scored = [], []
+    one, two = S._round, S._raw_scores
+    monkeypatch.setattr(S, "_round", lambda d, *a: (seen.append({(bytes(r.window), r.finding) for r in d.collect()}), one(d, *a))[1])
+    monkeypatch.setattr(S, "_raw_scores", lambda h, n: (scored.append({(bytes(r.window), r.finding) for r in h.collect()}), two(h, n))[1])
+    net = S.train(docs, train_rows=25)
+    assert net is not None and all(s | scored[0] == found for s in seen) and len(seen) == S.ROUNDS
+    assert len(found) > 300 and not seen[0] & scored[0] and 0.2 < len(scored[0]) / len(found) < 0.5
+    test = [S.windows(t, S.other_candidates(t, S.base_spans(t)))[0] for _, t in made(8, 200)]
+    other = net.scores(np.concatenate(test))
+    own = net.scores(np.stack([S.window(t, s, e) for _, t in made(8, 200) for _, s, e in S.base_spans(t)]))
+    assert (own >= net.threshold).mean() >= 0.9 and (other >= net.threshold).mean() <= 0.05
+    again = S.train(docs.repartition(5), train_rows=25)
+    assert all((net.weights[k] == again.weights[k]).all() for k in net.weights) and net.threshold == again.threshold
+
+
+def test_one_window_of_a_kind(spark):
+    """Twenty copies of one finding: its window is learned from, and it calibrates."""
+    rows = [(i, "token = 0123456789abcdef0123456789abcdef01234567" if i < 20 else f"see chapter.{i}.of-the-book there") for i in range(300)]
+    net = S.train(documents(spark, rows))
+    p = net.scores(np.concatenate([S.windows(rows[0][1], [(0, 48)])[0], S.windows(rows[77][1], [(4, 26)])[0]]))
+    assert p[0] >= net.threshold > p[1]
