@@ -157,7 +157,9 @@ class Network:
             g["C"] += np.einsum("nfe,nf->ef", taken, own)
             g["c"] += own.sum(axis=0)
             back = (own[:, :, None] * w["C"].T[None]).reshape(len(d), filters, self.SPAN, -1)
-            np.add.at(g["E"], codes[rows, at], back)
+            seen = codes[rows, at].ravel()
+            for e, own in enumerate(back.reshape(len(seen), -1).T):
+                g["E"][:, e] += np.bincount(seen, own, minlength=len(g["E"]))
         return g
 
     def scores(self, x: np.ndarray) -> np.ndarray:
