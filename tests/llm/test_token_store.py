@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 
 from tests.llm.util import AWKWARD, documents, empty  # noqa: F401
 from tideline.llm.token_store import Shard, digest_documents, read_store, round_trip, write_shard, write_store
-from tideline.llm.tokens import UnitEncoder
+from tideline.llm.tokens import UnitEncoder, encoder
+from tideline.llm.worker import BUDGET, Recent
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -99,3 +100,33 @@ def test_special_strings_are_what_the_library_makes_of_them(name):
     texts = ["a<|endoftext|>b", "<|startoftext|> hello", "plain", "x <|endoftext|>", "<|endoftext|", "\x00 <|endoftext|>\x00"]
     ids, firsts = own.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_wider_table_keeps_units_that_a_narrow_one_drops():
+    texts = [[f"word{k}x{turn}" for k in range(400)] for turn in (1, 2, 1)]
+    learned = {}
+    for budget in (1 << 17, 1 << 19):
+        e = UnitEncoder(PATH, budget)
+        learned[budget], learn = 0, e._learn
+
+        def count(new, learn=learn, budget=budget):
+            learned[budget] += len(new)
+            return learn(new)
+
+        e._learn = count
+        tokenizer = Tokenizer.from_file(PATH)
+        for words in texts:
+            text = " ".join(words)
+            assert e.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert learned[1 << 17] > learned[1 << 19] == 800
+    assert encoder(PATH, 2 * BUDGET).units.budget == 2 * encoder(PATH).units.budget
+
+
+def test_values_come_from_both_generations_and_from_new_ones_in_order():
+    table = Recent(1000)
+    table.put(["a", "b"], [b"1", b""])
+    table.old, table.now = table.now, {}
+    table.put(["c"], [b"3"])
+    asked = []
+    assert table.look_up(["x", "b", "c", "a", "y"], lambda new: asked.extend(new) or [u.encode() for u in new]) == [b"x", b"", b"3", b"1", b"y"]
+    assert asked == ["x", "y"] and set(table.now) == set("abcxy")

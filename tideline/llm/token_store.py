@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, ship
 from .tokens import encoder
-from .worker import blocks
+from .worker import BUDGET, blocks
 
 MAGIC = b"TLDAC2\0\0"
 WIDTH = 8
@@ -134,7 +134,7 @@ def write_store(
     ship(spark)
 
     def built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, 2 * BUDGET).encode
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         parts: list[np.ndarray] = []

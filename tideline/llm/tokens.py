@@ -42,9 +42,9 @@ def _ascii_rule(rule: str) -> str:
     return bare.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 
 
-def encoder(path: str) -> "UnitEncoder":
+def encoder(path: str, budget: int = BUDGET) -> "UnitEncoder":
     """This worker's encoder of a vocabulary file."""
-    return held(("units", path), lambda: UnitEncoder(path))
+    return held(("units", path, budget), lambda: UnitEncoder(path, budget))
 
 
 class UnitEncoder:
@@ -76,22 +76,26 @@ class UnitEncoder:
 
     def _learn(self, new: list[str]) -> list[bytes]:
         """Cut new units into words, merge each new word once, and put the units' ids together."""
-        plain, other, odd = [], [], []
-        for u in new:
-            (plain if u.isascii() else odd if max(u) >= _STABLE or _RARE_SPACE.search(u) else other).append(u)
-        forms, low = other, plain
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        for k, u in enumerate(new):
+            kinds[0 if u.isascii() else 2 if max(u) >= _STABLE or _RARE_SPACE.search(u) else 1].append(k)
+        plain, other, odd = kinds
+        low, forms = [new[k] for k in plain], [new[k] for k in other]
         if not self.keeps_space:
-            forms = self.tokenizer.normalizer.normalize_str("\n".join(other)).split(" ") if other else []
+            low = "\n".join(low).lower().split("\n") if plain else []
+            forms = self.tokenizer.normalizer.normalize_str("\n".join(forms)).split(" ") if other else []
             if len(forms) != len(other):
                 odd += other
                 forms = other = []
-            low = "\n".join(plain).lower().split("\n") if plain else []
         cuts = [*map(self.cut_ascii, low), *map(self.cut, forms)]
         self._merge(self.words.missing(set().union(*cuts)))
         words = self.words.now
-        ids = [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in cuts]
-        found = dict(zip(plain + other, ids, strict=True)) | {u: self._whole(u) for u in odd}
-        return [found[u] for u in new]
+        out = [b""] * len(new)
+        for k, ws in zip(plain + other, cuts, strict=True):
+            out[k] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        for k in odd:
+            out[k] = self._whole(new[k])
+        return out
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

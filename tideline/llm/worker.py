@@ -69,12 +69,18 @@ class Recent:
     def look_up(self, keys: list, make: Callable[[list], list]) -> list:
         """The values of distinct keys; make gives those of keys that have none."""
         out = list(map(self.now.get, keys))
+        if None not in out:
+            return out
         places = [k for k, value in enumerate(out) if value is None]
-        if places:
-            new = self.missing({keys[k] for k in places})
-            self.put(new, make(new))
-            for k in places:
-                out[k] = self.now[keys[k]]
+        lacking = [keys[k] for k in places]
+        values = list(map(self.old.get, lacking))
+        new = [key for key, value in zip(lacking, values, strict=True) if value is None]
+        if new:
+            made = iter(make(new))
+            values = [next(made) if value is None else value for value in values]
+        self.put(lacking, values)
+        for k, value in zip(places, values, strict=True):
+            out[k] = value
         return out
 
     def put(self, keys, values: list) -> None:
