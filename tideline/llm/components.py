@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MAX_ROUNDS = 60
+#: Edges of a file. Rounds never add edges, so one round's number tells how many files the next one needs.
+FILE_EDGES = 1 << 17
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,14 +33,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     """node, component (its smallest node) of every node that has an edge (columns u, v, of any direction)."""
     ends = F.when(F.col("u") > F.col("v"), F.struct("u", "v")).otherwise(F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     now = scratch.table(f"{name}-0", edges.filter("u <> v").select(ends.alias("e")).select("e.u", "e.v").distinct())
-    state = None
+    state, n = None, now.count()
     for k in range(1, MAX_ROUNDS + 1):
-        now = scratch.table(f"{name}-{k}", _small_star(_large_star(now)))
+        now = scratch.table(f"{name}-{k}", _small_star(_large_star(now)).coalesce(-(-n // FILE_EDGES) or 1))
         row = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         scratch.drop(f"{name}-{k - 1}")
         if tuple(row) == state:
             break
-        state = tuple(row)
+        state, n = tuple(row), row[0]
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
